@@ -1,9 +1,10 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import fingerprints, packing, pieces, quality, urls
+from . import fingerprints, neardup, packing, pieces, quality, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_near_dedup": neardup.op3_near_dedup,
     "op4_url_filter": urls.op4_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
