@@ -81,7 +81,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     """A 64-bit hash of the bytes of each span, eight at a time."""
     eights = np.ndarray((max(len(data) - 7, 0),), "<u8", data, strides=(1,))
     left = (ends - starts).astype(np.int64)
-    h = mix(left.astype(np.uint64) + np.uint64(seed & (2**64 - 1)) * M1 + M1)
+    h = mix(left.astype(np.uint64) + np.uint64((seed + 1) * int(M1) % 2**64))
     live, at = np.flatnonzero(left > 0), starts.astype(np.int64)
     while len(live):
         take = np.minimum(left[live], 8)
