@@ -1,14 +1,16 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import fingerprints, neardup, packing, pieces, quality, urls
+from . import fingerprints, neardup, packing, pieces, privacy, quality, suffixdup, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_suffix_dedup": suffixdup.op2_suffix_dedup,
     "op3_near_dedup": neardup.op3_near_dedup,
     "op4_url_filter": urls.op4_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_merge_dropout": pieces.op7_merge_dropout,
+    "op8_privacy": privacy.op8_privacy,
 }
 
 SQL = {
