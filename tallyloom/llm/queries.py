@@ -1,6 +1,6 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from . import fingerprints, neardup, packing, pieces, privacy, quality, suffixdup, urls
+from . import chaining, fingerprints, neardup, packing, pieces, privacy, quality, scoring, suffixdup, urls
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_merge_dropout": pieces.op7_merge_dropout,
     "op8_privacy": privacy.op8_privacy,
+    "op9_collinear_chains": chaining.op9_collinear_chains,
+    "op10_ppm_scores": scoring.op10_ppm_scores,
 }
 
 SQL = {
