@@ -3,12 +3,15 @@
 1. Each 400-byte string holds exactly one anchor: its leftmost least 32-byte gram by hash. Strings
    that are equal have equal anchors at equal places, so a string whose anchor gram is found once
    cannot repeat. Successive strings with one anchor form a segment.
-2. Segments whose anchor gram repeats are collected by equal bytes, with their number; one of each
-   is dealt to a shard by its gram. The suffixes of a shard are ordered by external induced sorting
-   with common prefixes (module induced); strings next to each other that agree in 400 bytes repeat.
-3. A gram with more than HOT distinct segments (a passage that stands in a great many documents) is
+2. Segments whose anchor gram repeats are collected by equal bytes, with their number. Two different
+   segments can share a 400-byte string only if they agree in 300 bytes around their anchors, at one
+   of four places; the others are left out.
+3. One of each is dealt to a shard by its gram. The suffixes of a shard are ordered by external
+   induced sorting with common prefixes (module induced); strings next to each other that agree in
+   400 bytes repeat, as do those of segments that were found twice.
+4. A gram with more than HOT distinct segments (a passage that stands in a great many documents) is
    not given to one shard: its strings are compared across shards, grouped by a 128-bit hash.
-4. Starts found go back to all documents that hold the segment, whose bytes are then cut.
+5. Starts found go back to all documents that hold the segment, whose bytes are then cut.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ from .textblocks import M1, block_of, hash_spans, mix, ragged, slices
 LENGTH = 400
 GRAM = 32
 #: Distinct segments of a gram that one shard takes, and bytes of segments that it sorts at a time.
-HOT, SHARD_BYTES = 2048, 8 << 20
+HOT, SHARD_BYTES = 2048, 2 << 20
+#: Places around an anchor at which two segments may agree.
+PLACES = 4
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """Of texts back to back: doc, first and last start of each run of strings with one anchor, and the hash of its gram."""
     n, width = int(offsets[-1]), length - GRAM + 1
-    none = {"doc": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "gram": np.zeros(0, np.uint64)}
+    none = {"doc": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "anchor": np.zeros(0, np.int64), "gram": np.zeros(0, np.uint64)}
     starts = n - length + 1
     if starts <= 0:
         return none
@@ -64,7 +69,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dic
     new = np.r_[True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])]
     head = np.flatnonzero(new)
     last = np.r_[head[1:], len(at)] - 1
-    return {"doc": doc[head], "first": i[head], "last": i[last], "gram": h[a[head].astype(np.int64)]}
+    return {"doc": doc[head], "first": i[head], "last": i[last], "anchor": a[head].astype(np.int64) - offsets[doc[head]], "gram": h[a[head].astype(np.int64)]}
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -82,26 +87,48 @@ def _segment_rows(texts: DataFrame, length: int) -> DataFrame:
             hashes = [hash_spans(data, begin, end, seed) for seed in (1, 2)]
             doc = pa.array(s["doc"])
             yield pa.record_batch(
-                [b.column("t1").take(doc), b.column("t2").take(doc), *(pa.array(x.astype(np.int32)) for x in (s["first"], s["last"])), *(pa.array(x.view(np.int64)) for x in (s["gram"], *hashes))],
-                ["t1", "t2", "first", "last", "gram", "h1", "h2"],
+                [b.column("t1").take(doc), b.column("t2").take(doc), *(pa.array(x.astype(np.int32)) for x in (s["first"], s["last"], s["anchor"])), *(pa.array(x.view(np.int64)) for x in (s["gram"], *hashes))],
+                ["t1", "t2", "first", "last", "anchor", "gram", "h1", "h2"],
             )
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, first int, last int, gram long, h1 long, h2 long")
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, first int, last int, anchor int, gram long, h1 long, h2 long")
+
+
+def _agreements(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, hash) of the bytes around each anchor that a common string must hold: left and right of it by PLACES splits."""
+    step = length // PLACES
+    rows, keys = [], []
+    for i in range(PLACES):
+        begin, end = offsets[:-1] + anchor - i * step, offsets[:-1] + anchor + length - (i + 1) * step
+        ok = np.flatnonzero((begin >= offsets[:-1]) & (end <= offsets[1:]))
+        rows.append(ok)
+        keys.append(hash_spans(data, begin[ok], end[ok], 10 + i))
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _cut_out(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(gram, h1, h2, n, n_distinct, bytes) of the wanted segments (with t1, t2, first, last)."""
-    per_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "h1", "h2", "n", "n_distinct", "first", "last")).alias("s"))
+    """(gram, h1, h2, n, keys, bytes) of the wanted segments (with t1, t2, first, last, anchor); keys: their agreements."""
+    per_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "h1", "h2", "n", "first", "last", "anchor")).alias("s"))
     both = per_text.join(texts, ["t1", "t2"]).select("s", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=1 << 20):
-            for s, t in zip(b.column("s"), b.column("text")):
-                s, raw = s.values, t.as_buffer().to_pybytes()
-                parts = [raw[x : y + length] for x, y in zip(s.field("first").to_pylist(), s.field("last").to_pylist())]
-                yield pa.record_batch([*(s.field(k) for k in ("gram", "h1", "h2", "n", "n_distinct")), pa.array(parts, pa.binary())], ["gram", "h1", "h2", "n", "n_distinct", "bytes"])
+            s = b.column("s").flatten()
+            size = np.diff(b.column("s").offsets.to_numpy())
+            data, offsets = block_of(b.column("text"))
+            first, last, anchor = (s.field(k).to_numpy().astype(np.int64) for k in ("first", "last", "anchor"))
+            begin = np.repeat(offsets[:-1], size) + first
+            spread = last - first + length
+            row, i = ragged(spread)
+            parts = np.r_[data[begin[row] + i], np.zeros(8, np.uint8)]
+            at = np.r_[0, np.cumsum(spread)]
+            who, key = _agreements(parts, at, anchor - first, length)
+            by = np.argsort(who, kind="stable")
+            keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=len(first)))].astype(np.int32)), pa.array(key[by].view(np.int64)))
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(parts[:-8])])
+            yield pa.record_batch([*(s.field(k) for k in ("gram", "h1", "h2", "n")), keys, raw], ["gram", "h1", "h2", "n", "keys", "bytes"])
 
-    return both.mapInArrow(run, "gram long, h1 long, h2 long, n long, n_distinct long, bytes binary")
+    return both.mapInArrow(run, "gram long, h1 long, h2 long, n long, keys array<long>, bytes binary")
 
 
 def _runs(hit: np.ndarray) -> np.ndarray:
@@ -185,17 +212,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes:
     rows = stored(_segment_rows(keyed, length), "segments")
     again = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     found = stored(rows.join(again, "gram", "left_semi"), "repeated-grams")
-    distinct = found.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last")).alias("one"))
-    per_gram = distinct.groupBy("gram").agg(F.count("*").alias("n_distinct"))
-    wanted = distinct.join(per_gram, "gram").select("gram", "h1", "h2", "n", "n_distinct", "one.*")
+    wanted = found.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("gram", "h1", "h2", "n", "one.*")
     texts = keyed.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     cut = stored(_cut_out(wanted, texts, length), "segment-bytes")
     discard(rows)
-    runs = _sorted_shards(cut.where(F.col("n_distinct") <= hot), length, shard_bytes).unionByName(_hashed_strings(cut.where(F.col("n_distinct") > hot), length))
+    each = cut.select("gram", "h1", "h2", "n", F.explode("keys").alias("key"))
+    agreed = each.groupBy("gram", "key").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "key")
+    alike = each.join(agreed, ["gram", "key"], "left_semi").select("gram", "h1", "h2").distinct()
+    per_gram = alike.groupBy("gram").agg(F.count("*").alias("n_distinct"))
+    chosen = cut.drop("keys").join(alike.join(per_gram, "gram"), ["gram", "h1", "h2"])
+    chosen = stored(chosen, "alike")
+    runs = _sorted_shards(chosen.where(F.col("n_distinct") <= hot), length, shard_bytes).unionByName(_hashed_strings(chosen.where(F.col("n_distinct") > hot), length))
     runs = stored(runs, "repeated-starts")
     starts = found.select("gram", "h1", "h2", "t1", "t2", "first").distinct().join(runs, ["gram", "h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "runs")).alias("starts"))
     starts = stored(starts, "starts")
-    discard(found, cut, runs)
+    discard(found, cut, chosen, runs)
     return starts
 
 
