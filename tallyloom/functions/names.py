@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACES = r"^\s+|\s+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks; Spark has no such function."""
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))

@@ -60,7 +60,7 @@ def leader_weights(profile: DataFrame, vectors: DataFrame) -> DataFrame:
     """(leader, cluster, weight, mean): share of the leader's TF-IDF, and its mean, in each cluster."""
     g = profile.join(vectors.select("item", "cluster"), "item").groupBy("leader", "cluster").agg(F.sum("tfidf_norm").alias("s"), F.avg("tfidf_norm").alias("mean"))
     all_ = F.sum("s").over(W.partitionBy("leader"))
-    return g.select("leader", "cluster", F.round(F.when(all_ == 0, F.col("s")).otherwise(F.col("s") / F.when(all_ == 0, 1.0).otherwise(all_)), 6).alias("weight"), F.round("mean", 9).alias("mean"))
+    return g.select("leader", "cluster", F.round(F.when(all_ == 0, F.col("s")).otherwise(F.col("s") / F.when(all_ == 0, 1.0).otherwise(all_)), 6).alias("weight"), "mean")
 
 
 def leader_prediction(prediction: DataFrame, weights: DataFrame, k: int = 10) -> DataFrame:

@@ -167,7 +167,7 @@ _CTE = {
     "given": "SELECT tag, cluster, round(count(DISTINCT item)::DOUBLE / any_value(n), 4) AS p FROM tagged JOIN (SELECT tag, count(DISTINCT item) AS n, count(*) AS c FROM tagged GROUP BY tag) USING (tag) WHERE c >= 5 GROUP BY tag, cluster",
     "given2": "SELECT cluster, tag, round(count(DISTINCT item)::DOUBLE / any_value(n), 4) AS p FROM tagged JOIN (SELECT cluster, count(DISTINCT item) AS n FROM tagged GROUP BY cluster) USING (cluster) GROUP BY cluster, tag",
     "lw": "SELECT leader, cluster, sum(tfidf_norm) AS s, avg(tfidf_norm) AS m FROM profile JOIN vectors USING (item) GROUP BY leader, cluster",
-    "weights": "SELECT leader, cluster, round(CASE WHEN sum(s) OVER (PARTITION BY leader) = 0 THEN s ELSE s / sum(s) OVER (PARTITION BY leader) END, 6) AS weight, round(m, 9) AS mean FROM lw",
+    "weights": "SELECT leader, cluster, round(CASE WHEN sum(s) OVER (PARTITION BY leader) = 0 THEN s ELSE s / sum(s) OVER (PARTITION BY leader) END, 6) AS weight, m AS mean FROM lw",
     "additive": "SELECT * FROM (SELECT item, row_number() OVER (PARTITION BY item ORDER BY score DESC, cluster) AS rank, cluster, score FROM (SELECT item, cluster, round(s / sum(s) OVER (PARTITION BY item), 6) AS score FROM (SELECT item, cluster, sum(p) AS s FROM (SELECT DISTINCT item, tag FROM tags) JOIN given USING (tag) GROUP BY item, cluster))) WHERE rank <= 5",
     "avail": "SELECT item, 'collection' AS source FROM collection LEFT JOIN (SELECT item, count(DISTINCT leader) AS used FROM decks GROUP BY item) USING (item) WHERE qty > coalesce(used, 0)",
     "candidates": "SELECT * FROM avail UNION ALL SELECT item, 'opened' FROM opened WHERE item NOT IN (SELECT item FROM avail) AND item NOT IN (SELECT item FROM decks)",

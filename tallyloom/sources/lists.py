@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Names that are left out of statistics (fixed values).
 BASIC_LANDS = ["Plains", "Island", "Swamp", "Mountain", "Forest", "Wastes", "Snow-Covered Plains", "Snow-Covered Island", "Snow-Covered Swamp", "Snow-Covered Mountain", "Snow-Covered Forest"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(raw: pd.Series) -> pd.Series:
     """Bytes as UTF-8 (with or without a mark), else cp1252, else latin-1."""
 
