@@ -15,8 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='tallyloom-')}")
-    return spark.conf.get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallyloom-')}")
+    return context.getCheckpointDir()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
