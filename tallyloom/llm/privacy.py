@@ -1,20 +1,23 @@
 """Personal data and the terms that reveal it: information-theoretic sanitisation, in DataFrame operations only.
 
 Patterns find e-mail and IP addresses, card and phone numbers; each distinct value is a protected
-entity e. A term t within WINDOW characters of e reveals it as far as the corpus says so:
+entity e. A term t that stands in a document with e reveals it as far as the corpus says so:
 
     information of e       IC(e)     = log2(N / n(e))
     what t tells of it     PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t)))
     disclosure             PMI / IC  (1: whoever reads t knows e)
 
-with N the documents, n(e) and n(t) those that hold e or t, and n(e, t) those that hold t beside e.
-Entities with less than LEAST_BITS of information, which anyone may guess, and pairs seen in fewer
-than LEAST_TEXTS different texts, which are chance, disclose nothing. Beside e, a term whose
-disclosure reaches GENERALISE is replaced by its kind of word, one that reaches REMOVE goes.
+with N the documents, n(e) and n(t) those that hold e or t, and n(e, t) those that hold both. No entity
+and no pair is too rare to count. PMI is bounded by significance instead: documents that hold t are
+chance if as many of them as do, or more, hold e with a probability above CHANCE where e and t have
+nothing to do with each other (the Chernoff bound, exact where all that hold t hold e). In a document
+with e, a term whose disclosure reaches GENERALISE is replaced by its kind of word wherever it stands,
+one that reaches REMOVE goes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from .quality import let
 from .tables import stored
 
-WINDOW, LEAST_TEXTS, LEAST_BITS = 120, 3, 6.0
+#: The whole text, the first text that shows a pair, and any entity: nothing is left out.
+WINDOW, LEAST_TEXTS, LEAST_BITS = 2**31 - 1, 1, 0.0
 GENERALISE, REMOVE = 0.8, 0.95
+CHANCE = 0.05
 
 #: kind: pattern. Each finds what the plain pattern in the comment finds, leftmost and without overlaps, in linear time:
 #: possessive repeats need no stack, and starts inside a run that already failed are skipped.
@@ -39,21 +44,27 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 #: A word of three letters or more, apart from closing punctuation.
 TERM = r"(?<![^\x20\x09-\x0D])\p{L}{3,}+(?=[.,;:!?]*+(?:[\x20\x09-\x0D]|\z))"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Matches whose places are summed at a time, so that arrays that grow by one stay short.
+RUN = 128
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array of struct(start, end, value) of the matches: code points, end exclusive."""
 
-    def of(gaps: Column, found: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(gaps, i))
-            value = F.get(found, i)
-            end = start + F.length(value)
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+    def run(a: Column, matches: Column) -> Column:
+        one = F.aggregate(matches, F.struct(a["at"].alias("at"), F.array().cast(SPAN).alias("out")), step)
+        return let(one, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["out"])
+    def of(gaps: Column, found: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        matches = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
+        runs = let(matches, lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / RUN).cast("int")), lambda i: F.slice(m, i * RUN + 1, RUN)))
+        return F.flatten(F.aggregate(runs, zero, run, lambda a: a["out"]))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda g: of(g, m))).otherwise(F.array().cast(SPAN)))
@@ -93,51 +104,54 @@ def personal(text: Column) -> Column:
     return F.sort_array(F.concat(*[of(i, k) for i, k in enumerate(PATTERNS)]))
 
 
-def beside(text: Column, found: Column, window: int = WINDOW) -> Column:
-    """array of struct(entity, term, start, end): the whole terms within the window on either side of each entity."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"))
 
-    def part(lo: Column, hi: Column, entity: Column) -> Column:
-        # one character more on each side shows whether the outermost words are whole
-        at = F.greatest(lo - 1, F.lit(0))
-        piece = F.substring(text, at + 1, hi + 1 - at)
-        return F.transform(F.filter(spans(piece, TERM), lambda x: (x["start"] + at >= lo) & (x["end"] + at <= hi)), lambda x: F.struct(entity.alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + at).alias("start"), (x["end"] + at).alias("end")))
 
-    n = F.length(text)
-    each = F.transform(found, lambda x: F.concat(part(F.greatest(x["start"] - window, F.lit(0)), x["start"], x["entity"]), part(x["end"], F.least(x["end"] + window, n), x["entity"])))
-    return F.array_distinct(F.flatten(each))
+def scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, base, terms) of every row: personal data, and the terms of texts that hold any."""
+    none = F.array().cast("array<struct<term:string,start:int,end:int>>")
+    terms = F.transform(spans(F.col("text"), TERM), lambda x: F.struct(F.lower(x["value"]).alias("term"), x["start"].alias("start"), x["end"].alias("end")))
+    return _keyed(docs).withColumn("base", personal(F.col("text"))).withColumn("terms", F.when(F.size("base") > 0, terms).otherwise(none)).drop("text")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.crc32(text.cast("binary")).alias("t2"))
+def pairs(found: DataFrame) -> DataFrame:
+    """(t1, t2, entity, term) of each entity and term that a row holds both, once for the row."""
+    both = found.where(F.size("terms") > 0).select("t1", "t2", F.array_distinct(F.transform("base", lambda x: x["entity"])).alias("e"), F.array_distinct(F.transform("terms", lambda x: x["term"])).alias("t"))
+    return both.select("t1", "t2", F.explode("e").alias("entity"), "t").select("t1", "t2", "entity", F.explode("t").alias("term"))
 
 
-def scanned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, t1, t2, base, near) of every row: personal data and the terms beside it."""
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    return _keyed(docs).withColumn("base", personal(F.col("text"))).withColumn("near", F.when(F.size("base") > 0, beside(F.col("text"), F.col("base"), window)).otherwise(none)).drop("text")
+def evidence(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    """The bits that speak against chance: -log2 of the bound on its probability."""
+    rest = n_t - n_et
+    other = F.when(rest > 0, rest * F.log2(F.when(rest > 0, rest).otherwise(1) * n / (n_t * (n - n_e)))).otherwise(0.0)
+    return n_et * F.log2(n_et * n / (n_t * n_e)) + other
 
 
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that reach GENERALISE; counts are over all rows."""
-    n = found.count()
-    entities = found.select("t1", "t2", F.explode(F.array_distinct(F.transform("base", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    telling = entities.where((F.col("n_e") >= LEAST_TEXTS) & (F.log2(F.lit(float(n)) / F.col("n_e")) >= LEAST_BITS))
-    pairs = found.select("t1", "t2", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("t1", "t2", "p.*")
-    joint = pairs.join(telling, "entity").groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_et"), F.count_distinct("t1", "t2").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    joint = stored(joint, "joint")
+    """(entity, term, disclosure) of the pairs beyond chance that reach GENERALISE; counts are over all rows.
+
+    What every row holds is no secret, and nothing discloses it.
+    """
+    n = F.lit(float(found.count()))
+    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
+    joint = pairs(found).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    told = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(n)) / F.col("n_e"))
-    return joint.join(words, "term").select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    told = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+    beyond = evidence(n, F.col("n_e"), F.col("n_t"), F.col("n_et")) >= -math.log2(CHANCE)
+    return joint.join(entities, "entity").join(words, "term").where(beyond).select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def sanitisable(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, base, terms) of every row; terms: array of struct(start, kind number, end, disclosure) to generalise or remove."""
     found = stored(scanned(docs), "personal-data")
-    near = found.select("t1", "t2", F.explode("near").alias("x")).select("t1", "t2", "x.*").distinct()
-    told = near.join(disclosures(docs, found), ["entity", "term"]).groupBy("t1", "t2", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = told.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end", "disclosure"))).alias("terms"))
-    return found.drop("near").join(terms, ["t1", "t2"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")))
+    told = pairs(found).distinct().join(disclosures(docs, found), ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("disclosure").alias("disclosure"))
+    each = told.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
+    placed = F.transform(F.col("terms"), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end"), F.try_element_at(F.col("told"), x["term"]).alias("disclosure")))
+    marked = F.when(F.col("told").isNull(), none).otherwise(F.filter(placed, lambda x: x["disclosure"].isNotNull()))
+    return found.join(each, ["t1", "t2"], "left").withColumn("terms", marked).drop("told")
 
 
 def listing(found: Column) -> Column:
@@ -150,7 +164,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans) of every row.
 
     A null text is empty and has no spans. Every row of docs gives one, repeated ones too. Terms are
-    marked only beside personal data, so documents without any have no spans.
+    marked only in documents with the personal data they tell, so documents without any have no spans.
     """
     plain = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
@@ -163,7 +177,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """All columns of docs, with the personal data in text masked, and terms beside it that disclose it generalised or removed.
+    """All columns of docs, with the personal data in text masked, and terms in the same text that disclose it generalised or removed.
 
     A null text stays null. Overlapping spans are masked once, by the one that starts first.
     """

@@ -105,3 +105,19 @@ def test_plan_has_no_python(spark):
     plan = privacy.spans_of(docs_frame(spark, [(1, "a@b.cc")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert privacy.spans_of(docs_frame(spark, [])).count() == 0
+
+
+def test_terms_of_rare_entities_and_far_away(spark):
+    far = prose(60, 7)
+    rows = [(1, f"Zebulon wrote {far} and asks for replies to zeb@hidden.example.com today. ZEBULON {far} zebulon")]
+    rows += [(10 + i, f"and asks for replies today {far} {prose(5, i)}") for i in range(60)]
+    rows += [(100 + i, f"all hold 10.0.0.1 of which one Ignatius {i}" if i == 3 else f"all hold 10.0.0.1 {i}") for i in range(30)]
+    got = {r.doc_id: r for r in privacy.spans_of(docs_frame(spark, rows)).collect()}
+    told = lambda i: {dict(rows)[i][int(a) : int(b)].lower() for k, a, b in (x.split(":") for x in got[i].spans.split(",")) if k == "term"}
+    # 'wrote' stands there only as well; the common words do not tell, however near
+    assert told(1) == {"zebulon", "wrote"} and got[1].n_term == 4
+    # these two words stand where the address does and nowhere else; a third of the rows hold it, so one more word in one of them is chance
+    assert told(103) == {"all", "hold"} and all(got[i].n_term == 0 for i in range(10, 70))
+    # on small tables as well
+    small = privacy.spans_of(docs_frame(spark, rows[:1] + rows[1:31])).collect()
+    assert [r.n_term for r in small if r.doc_id == 1] == [4] and privacy.spans_of(docs_frame(spark, [(1, "Zebulon a@b.cc")] * 3)).agg({"n_term": "sum"}).first()[0] == 0
