@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block of corpus or queries that meet in one task.
 BLOCK = 4096
+#: Queries whose neighbours are sorted at a time.
+STRIP = 64
+#: Places of a similarity.
+PLACES = 6
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,6 +29,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / F.when(n > 0, n).otherwise(1.0)).otherwise(0.0)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """x to PLACES, half-way cases as Spark's round has them: away from 0 by the shortest decimal."""
+    scaled = x * 10.0**PLACES
+    out = np.round(scaled) / 10.0**PLACES
+    half = np.flatnonzero(np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) < 1e-6)
+    if len(half):
+        some, back = np.unique(x[half], return_inverse=True)
+        out[half] = np.array([float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-PLACES), ROUND_HALF_UP)) for v in some.tolist()])[back]
+    return out + 0.0  # no negative zero
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """(item, rank, neighbor, similarity): for each query the k most similar other vectors, exactly.
 
@@ -44,14 +60,22 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame
         sim = v[ask] @ v[~ask].T
         q, c = ids[ask], ids[~ask]
         sim[q[:, None] == c[None]] = -np.inf
-        keep = min(k + 8, len(c))  # more than k: ties after rounding are settled by item later
-        best = np.argpartition(-sim, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(q), 0), int)
-        value = np.take_along_axis(sim, best, 1).ravel()
-        real = np.isfinite(value)
-        return pa.table({"item": np.repeat(q, keep)[real], "neighbor": c[best.ravel()][real], "similarity": value[real]})
+        keep = min(k, len(c))
+        out = []
+        for a in range(0, len(q) if keep else 0, STRIP):
+            part = sim[a : a + STRIP]
+            # what can reach the k-th after rounding; ties are settled by item, however many there are
+            least = np.partition(part, len(c) - keep, axis=1)[:, len(c) - keep, None] - 2 * 10.0**-PLACES
+            row, at = np.nonzero((part >= least) & np.isfinite(part))
+            value, other = rounded(part[row, at]), c[at]
+            order = np.lexsort((other, -value, row))
+            row, value, other = row[order], value[order], other[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((q[a + row[best]], other[best], value[best]))
+        item, other, value = (np.concatenate(x) for x in zip(*out)) if out else (q[:0], c[:0], np.zeros(0))
+        return pa.table({"item": item, "neighbor": other, "similarity": value})
 
     found = corpus.unionByName(asked).groupBy("c", "q").applyInArrow(run, "item long, neighbor long, similarity double")
-    found = found.withColumn("similarity", F.round("similarity", 6))
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("similarity"), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("item", "rank", "neighbor", "similarity")
 

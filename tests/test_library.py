@@ -5,6 +5,7 @@ import math
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,18 @@ def test_models_run(spark, name):
 def test_item_vectors(spark):
     lines = spark.createDataFrame([(b, i, 1) for b in range(40) for i in range(b % 5, b % 5 + 6)], "basket_id long, item long, qty long")
     assert len(ml.item_vectors(lines, size=8, epochs=1).first().vec) == 8
+
+
+def test_neighbours_with_more_ties_than_asked_for(spark):
+    # 300 copies of one vector, and 300 that are equal to it only after rounding
+    rows = [(i * 7919 % 601, [1.0, 0.0]) for i in range(300)] + [(i * 7919 % 601, [1.0, 1e-4 * (i % 5)]) for i in range(300, 600)] + [(900, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "item long, vec array<double>")
+    got = {}
+    for r in vectors.neighbours(v.where("item IN (3, 900)"), v, 5).collect():
+        got.setdefault(r.item, {})[r.rank] = (r.neighbor, r.similarity)
+    for i, found in got.items():
+        mine = dict(rows)[i]
+        want = sorted((-round(sum(x * y for x, y in zip(mine, w)) / math.hypot(*mine) / math.hypot(*w), 6), j) for j, w in rows if j != i)[:5]
+        assert [found[k + 1] for k in range(5)] == [(j, -s) for s, j in want]
+    assert set(got) == {3, 900}
+    assert vectors.rounded(np.array([0.0000005, -0.0000005, 0.1234565, -1e-9, 1.0])).tolist() == [1e-6, -1e-6, 0.123457, 0.0, 1.0]
