@@ -2,13 +2,14 @@
 
 Encoding starts from characters and keeps an agenda of neighbouring pairs whose union is a piece of
 the vocabulary; the best-scored one (then the leftmost) is merged until none is left. With
-merge-dropout a candidate is skipped when the keyed hash of (seed, variant, left piece, right piece,
-position) falls under the dropout rate: the same text gives other segmentations for other seeds,
+merge-dropout a candidate is skipped when the keyed hash of (seed, document, place of the chunk, left
+piece, right piece, position) falls under the dropout rate: the same text gives other segmentations for other seeds,
 always the same for one seed. Characters outside the vocabulary become byte pieces.
 
 The pieces of such a vocabulary never hold a space mark after another character, so merges stay
-within a chunk: a run of spaces and the characters up to the next space. Equal chunks of a block are
-encoded once for each of `variants` variants, and all chunks of a block are merged in step.
+within a chunk: a run of spaces and the characters up to the next space. Every occurrence draws its own
+skips. Equal chunks of a block are encoded once without dropout, which gives their candidates; the
+occurrences that skip none of these share that encoding, all others are merged again, in step.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from .textblocks import M1, block_of, hash_spans, mix, ragged, slices
 
 DROPOUT = 0.1
 SEED = 17
-VARIANTS = 4
 #: Chunks with more characters are merged one by one, with a heap, in n log n steps.
 LONG_CHUNK = 48
+#: Characters or candidates of occurrences that are worked on at a time.
+PART = 1 << 20
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 
@@ -120,15 +122,18 @@ def agenda(symbols: list[int], key: int, v: Vocabulary, dropout: float) -> list[
     return out
 
 
-def merge_chunks(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, v: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chunk, piece, first character) of all chunks, each given as initial symbols; all are merged in step."""
+def merge_chunks(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, v: Vocabulary, dropout: float, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, piece, first character) of all chunks, each given as initial symbols; all are merged in step.
+
+    seen: takes (chunk, left piece, right piece, position) of all candidates; long chunks are then left out.
+    """
     chunk, at = ragged(counts)
     piece = symbols.astype(np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     long = counts > LONG_CHUNK
     if long.any():
         first = np.cumsum(counts) - counts
-        for c in np.flatnonzero(long).tolist():
+        for c in np.flatnonzero(long).tolist() if seen is None else []:
             got = agenda(symbols[first[c] : first[c] + counts[c]].tolist(), int(key[c]), v, dropout)
             done.append((np.full(len(got), c), np.array([p for p, _ in got], np.int64), np.array([i for _, i in got], np.int64)))
         stay = ~long[chunk]
@@ -137,6 +142,9 @@ def merge_chunks(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, v: Vo
     def candidates(i: np.ndarray) -> np.ndarray:
         a, b = piece[i], piece[i + 1]
         rank = np.where(chunk[i] == chunk[i + 1], v.merged(a, b), NONE)
+        if seen is not None:
+            c = np.flatnonzero(rank < NONE)
+            seen.append((chunk[i[c]], a[c], b[c], at[i[c]]))
         if dropout:
             c = np.flatnonzero(rank < NONE)
             rank[c[skipped(key[chunk[i[c]]], a[c], b[c], at[i[c]], dropout)]] = NONE
@@ -180,8 +188,40 @@ def merge_chunks(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, v: Vo
     return c[order], p[order], a[order]
 
 
-def encode(texts: pa.Array, ids: np.ndarray, v: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
-    """(piece ids of all texts in a row, offsets). ids: a number for each text, from which its chunks take their variants."""
+def drawn(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, back: np.ndarray, v: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(encoding, piece, first character) of the encodings that occurrences draw, the chunk of each encoding, and the encoding of each occurrence.
+
+    key, back: of each occurrence, its key and its chunk.
+    """
+    seen: list[tuple[np.ndarray, ...]] = []
+    out = [merge_chunks(symbols, counts, np.zeros(len(counts), np.uint64), v, 0.0, seen)]
+    chunk, left, right, place = (np.concatenate(x) for x in zip(*seen)) if seen else [np.zeros(0, np.int64)] * 4
+    order = np.lexsort((place, right, left, chunk))
+    order = order[np.r_[True, np.any([np.diff(x[order]) != 0 for x in (chunk, left, right, place)], axis=0)]] if len(order) else order
+    chunk, left, right, place = chunk[order], left[order], right[order], place[order]
+    n = np.bincount(chunk, minlength=len(counts))
+    begin, first = np.cumsum(n) - n, np.cumsum(counts) - counts
+    of, mine = [np.arange(len(counts))], back.copy()
+    work = np.cumsum(np.maximum(n, counts)[back])
+    cuts = np.unique(np.searchsorted(work, np.arange(PART, work[-1] + 1, PART))) if len(back) else []
+    for part in np.split(np.arange(len(back)), cuts):
+        row, k = ragged(n[back[part]])
+        i = begin[back[part]][row] + k
+        again = counts[back[part]] > LONG_CHUNK
+        again[row[skipped(key[part][row], left[i], right[i], place[i], dropout)]] = True
+        part = part[again]
+        row, k = ragged(counts[back[part]])
+        c, p, at = merge_chunks(symbols[first[back[part]][row] + k], counts[back[part]], key[part], v, dropout)
+        base = sum(map(len, of))
+        mine[part] = base + np.arange(len(part))
+        of.append(back[part])
+        out.append((c + base, p, at))
+    c, p, at = (np.concatenate(x) for x in zip(*out))
+    return c, p, at, np.concatenate(of), mine
+
+
+def encode(texts: pa.Array, ids: np.ndarray, v: Vocabulary, dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ids of all texts in a row, offsets). ids: a number for each text, from which its chunks draw their skips."""
     data, offsets = block_of(texts)
     n = int(offsets[-1])
     space = data[:n] == 0x20
@@ -196,10 +236,8 @@ def encode(texts: pa.Array, ids: np.ndarray, v: Vocabulary, dropout: float = DRO
     before = np.searchsorted(starts, offsets)
     opening[before[:-1][filled]] = 1
     doc, j = ragged(np.diff(before))
-    which = mix(mix(ids.astype(np.int64).view(np.uint64)[doc] + M1) ^ j.astype(np.uint64)) % np.uint64(max(variants, 1) if dropout else 1)
-    key = mix(np.uint64(seed * int(M1) % 2**64) + which)
-    whole = mix(hash_spans(data, starts, ends) + opening.astype(np.uint64)) ^ key
-    _, one, back = np.unique(whole, return_index=True, return_inverse=True)
+    key = mix(np.uint64(seed * int(M1) % 2**64) + mix(mix(ids.astype(np.int64).view(np.uint64)[doc] + M1) ^ j.astype(np.uint64)))
+    _, one, back = np.unique(mix(hash_spans(data, starts, ends) + opening.astype(np.uint64)), return_index=True, return_inverse=True)
     # code points of the distinct chunks
     row, k = ragged(ends[one] - starts[one])
     raw = data[starts[one][row] + k]
@@ -214,16 +252,20 @@ def encode(texts: pa.Array, ids: np.ndarray, v: Vocabulary, dropout: float = DRO
     symbols[put] = v.char[points]
     point = np.full(len(symbols), 0x20, np.uint32)
     point[put] = points
-    c, p, at = merge_chunks(symbols, counts, key[one], v, dropout)
+    if dropout:
+        c, p, at, of, back = drawn(symbols, counts, key, back, v, dropout)
+    else:
+        c, p, at = merge_chunks(symbols, counts, key[one], v, dropout)
+        of = np.arange(len(one))
     # characters outside the vocabulary become their bytes
     odd = np.flatnonzero(p < 0)
     if len(odd):
-        as_bytes = [chr(x).encode() for x in point[first[c[odd]] + at[odd]].tolist()]
+        as_bytes = [chr(x).encode() for x in point[first[of[c[odd]]] + at[odd]].tolist()]
         times = np.ones(len(p), np.int64)
         times[odd] = [len(x) for x in as_bytes]
         c, p, was_odd = np.repeat(c, times), np.repeat(p, times), np.repeat(p < 0, times)
         p[was_odd] = v.byte0 + np.frombuffer(b"".join(as_bytes), np.uint8).astype(np.int64)
-    size = np.bincount(c, minlength=len(one))
+    size = np.bincount(c, minlength=len(of))
     begin = np.cumsum(size) - size
     row, k = ragged(size[back])
     out = p[begin[back][row] + k]
@@ -242,13 +284,13 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[bytes,
     return raw[keep].tobytes(), at - np.r_[0, np.cumsum(filled)]
 
 
-def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, ids array<int>) of every text. A null or empty text has no ids; a null doc_id counts as -1 in the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in slices(batches):
-            ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed, variants)
+            ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -269,7 +311,7 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256, lossless) of every text: digests of its ids and of what they decode to.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit numbers. A null text is empty.
@@ -278,7 +320,7 @@ def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in slices(batches):
-            ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed, variants)
+            ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed)
             raw, to = decode(ids, at, v)
             data, offsets = block_of(b.column("text"))
             data = data.tobytes()

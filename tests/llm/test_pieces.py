@@ -93,3 +93,20 @@ def test_encode_and_decode_frames(spark):
     back = p.decoded(p.encoded(docs_frame(spark, rows), PATH), PATH).collect()
     assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
     assert p.encoding_digests(docs_frame(spark, []), PATH).count() == 0
+
+
+def test_every_occurrence_draws_its_own_skips():
+    v = p.vocabulary(PATH)
+    word, n = "internationalization", 3000
+    text = " ".join([word] * n)
+    out, at = p.encode(pa.array([text, text]), np.array([3, 4]), v)
+    one = out[: at[1]].tolist()
+    # a piece with the space mark opens each occurrence
+    opens = [i for i, x in enumerate(one) if v.bytes[v.first[x]] == 0x20] + [len(one)]
+    forms = [tuple(one[a:b]) for a, b in zip(opens[:-1], opens[1:])]
+    assert len(forms) == n and len(set(forms)) > 50
+    assert forms != [tuple(x) for x in forms[:1]] * n and out[at[1] :].tolist() != one
+    # each is what the plain agenda gives for its key
+    key = p.mix(np.uint64(p.SEED * int(p.M1) % 2**64) + p.mix(p.mix(np.full(40, 3, np.uint64) + p.M1) ^ np.arange(40, dtype=np.uint64)))
+    for i in range(40):
+        assert tuple(x for x, _ in slow(" " + word, int(key[i]), v, p.DROPOUT)) == forms[i]
