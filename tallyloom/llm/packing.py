@@ -26,7 +26,7 @@ from .textblocks import block_of, hash_spans, ragged, slices, words_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers at most; beyond it, it starts anew.
-WORDS_KEPT = 2_000_000
+WORDS_KEPT = 500_000
 
 _tokenizers: dict[str, WordIds] = {}
 
