@@ -210,14 +210,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes:
     """(t1, t2, starts) of the distinct texts with repeated strings; starts: struct(first, runs) of each segment with some."""
     keyed = _keyed(docs.select("text"))
     rows = stored(_segment_rows(keyed, length), "segments")
-    again = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    again = stored(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams-found-again")  # stored, so that the join can be split at a hot gram
     found = stored(rows.join(again, "gram", "left_semi"), "repeated-grams")
     wanted = found.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("gram", "h1", "h2", "n", "one.*")
     texts = keyed.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     cut = stored(_cut_out(wanted, texts, length), "segment-bytes")
     discard(rows)
     each = cut.select("gram", "h1", "h2", "n", F.explode("keys").alias("key"))
-    agreed = each.groupBy("gram", "key").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "key")
+    agreed = stored(each.groupBy("gram", "key").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "key"), "agreements")
     alike = each.join(agreed, ["gram", "key"], "left_semi").select("gram", "h1", "h2").distinct()
     per_gram = alike.groupBy("gram").agg(F.count("*").alias("n_distinct"))
     chosen = cut.drop("keys").join(alike.join(per_gram, "gram"), ["gram", "h1", "h2"])
@@ -226,7 +226,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes:
     runs = stored(runs, "repeated-starts")
     starts = found.select("gram", "h1", "h2", "t1", "t2", "first").distinct().join(runs, ["gram", "h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "runs")).alias("starts"))
     starts = stored(starts, "starts")
-    discard(found, cut, chosen, runs)
+    discard(found, cut, chosen, runs, again, agreed)
     return starts
 
 
@@ -276,6 +276,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """What stays of each document after all 400-byte strings found twice or more are cut."""
+    """What stays of each document after all 400-byte strings found twice or more are cut, as digest and as text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(docs).drop("text")
