@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .quality import let
 from .tables import stored
 
-#: The whole text, the first text that shows a pair, and any entity: nothing is left out.
-WINDOW, LEAST_TEXTS, LEAST_BITS = 2**31 - 1, 1, 0.0
 GENERALISE, REMOVE = 0.8, 0.95
 CHANCE = 0.05
 
@@ -116,10 +114,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     return _keyed(docs).withColumn("base", personal(F.col("text"))).withColumn("terms", F.when(F.size("base") > 0, terms).otherwise(none)).drop("text")
 
 
-def pairs(found: DataFrame) -> DataFrame:
-    """(t1, t2, entity, term) of each entity and term that a row holds both, once for the row."""
-    both = found.where(F.size("terms") > 0).select("t1", "t2", F.array_distinct(F.transform("base", lambda x: x["entity"])).alias("e"), F.array_distinct(F.transform("terms", lambda x: x["term"])).alias("t"))
-    return both.select("t1", "t2", F.explode("e").alias("entity"), "t").select("t1", "t2", "entity", F.explode("t").alias("term"))
+def holders(found: DataFrame) -> DataFrame:
+    """(t1, t2, w, e, t): each distinct text with personal data, its rows, and its distinct entities and terms."""
+    entities, terms = F.array_distinct(F.transform("base", lambda x: x["entity"])), F.array_distinct(F.transform("terms", lambda x: x["term"]))
+    return found.where(F.size("base") > 0).select("t1", "t2", entities.alias("e"), terms.alias("t")).groupBy("t1", "t2").agg(F.count("*").alias("w"), F.first("e").alias("e"), F.first("t").alias("t"))
 
 
 def evidence(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
@@ -129,29 +127,50 @@ def evidence(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
     return n_et * F.log2(n_et * n / (n_t * n_e)) + other
 
 
-def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs beyond chance that reach GENERALISE; counts are over all rows.
+def most_rows(n: Column, n_e: Column) -> Column:
+    """The most rows that can hold a term with which an entity of n_e rows reaches GENERALISE: as n(e, t) <= n(e), a little rounded up."""
+    return F.pow(n_e.cast("double"), F.lit(GENERALISE)) * F.pow(n, F.lit(1 - GENERALISE)) * (1 + 1e-9)
 
-    What every row holds is no secret, and nothing discloses it.
+
+def candidates(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """(t1, t2, w, entity, n_e, term, n_t) of each entity and term of a text, less those whose term stands in too many rows; and the number of rows.
+
+    Counts are over all rows. What every row holds is no secret, and nothing discloses it. Terms are
+    told from others by their counts before they meet entities, so common words make no pairs. All
+    entities that stand in one text only have the same counts, so they are one there.
     """
     n = F.lit(float(found.count()))
-    entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") < n)
-    joint = pairs(found).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    texts = stored(holders(found), "personal-texts")
+    entities = stored(texts.select("w", F.explode("e").alias("entity")).groupBy("entity").agg(F.sum("w").alias("n_e"), F.count("*").alias("texts")).where(F.col("n_e") < n), "entities")
+    top = F.lit(float(entities.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    rare = stored(words.where(F.col("n_t") <= most_rows(n, top)), "rare-words")
+    alike = F.when(F.col("texts") == 1, F.concat_ws(" ", F.lit("only"), "t1", "t2")).otherwise(F.col("entity"))
+    own = texts.select("t1", "t2", "w", F.explode("e").alias("entity")).join(entities, "entity").withColumn("entity", alike).groupBy("t1", "t2").agg(F.first("w").alias("w"), F.max("n_e").alias("most"), F.collect_set(F.struct("entity", "n_e")).alias("e"))
+    terms = texts.select("t1", "t2", F.explode("t").alias("term")).join(rare, "term").join(own, ["t1", "t2"]).where(F.col("n_t") <= most_rows(n, F.col("most")))
+    both = terms.select("t1", "t2", "w", "term", "n_t", F.explode("e").alias("x")).select("t1", "t2", "w", "x.entity", "x.n_e", "term", "n_t")
+    return stored(both.where(F.col("n_t") <= most_rows(n, F.col("n_e"))), "candidate-terms"), n
+
+
+def disclosures(pairs: DataFrame, n: Column) -> DataFrame:
+    """(entity, term, disclosure) of the candidates beyond chance that reach GENERALISE."""
+    joint = pairs.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.sum("w").alias("n_et"))
     told = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
     beyond = evidence(n, F.col("n_e"), F.col("n_t"), F.col("n_et")) >= -math.log2(CHANCE)
-    return joint.join(entities, "entity").join(words, "term").where(beyond).select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return joint.where(beyond).select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def sanitisable(docs: DataFrame) -> DataFrame:
     """(doc_id, t1, t2, base, terms) of every row; terms: array of struct(start, kind number, end, disclosure) to generalise or remove."""
     found = stored(scanned(docs), "personal-data")
-    told = pairs(found).distinct().join(disclosures(docs, found), ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("disclosure").alias("disclosure"))
-    each = told.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
+    pairs, n = candidates(docs, found)
+    told = pairs.join(stored(disclosures(pairs, n), "disclosures"), ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("disclosure").alias("disclosure"))
+    each = stored(told.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "told")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
     placed = F.transform(F.col("terms"), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end"), F.try_element_at(F.col("told"), x["term"]).alias("disclosure")))
     marked = F.when(F.col("told").isNull(), none).otherwise(F.filter(placed, lambda x: x["disclosure"].isNotNull()))
-    return found.join(each, ["t1", "t2"], "left").withColumn("terms", marked).drop("told")
+    with_data = found.where(F.size("base") > 0).join(each, ["t1", "t2"], "left").withColumn("terms", marked).drop("told")
+    return with_data.unionByName(found.where(F.size("base") == 0).withColumn("terms", none).select(with_data.columns))
 
 
 def listing(found: Column) -> Column:
@@ -179,18 +198,19 @@ def spans_of(docs: DataFrame) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """All columns of docs, with the personal data in text masked, and terms in the same text that disclose it generalised or removed.
 
-    A null text stays null. Overlapping spans are masked once, by the one that starts first.
+    A null text stays null. Overlapping spans are masked once, by the one that starts first. Columns
+    of docs may have any names.
     """
     text = F.coalesce("text", F.lit(""))
-    base = docs.drop("t1", "t2")
-    found = sanitisable(base).select("t1", "t2", "base", "terms").where((F.size("base") > 0)).dropDuplicates(["t1", "t2"])
+    found = sanitisable(docs.select("doc_id", "text")).where(F.size("base") > 0).dropDuplicates(["t1", "t2"])
+    found = stored(found.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("base").alias("__base"), F.col("terms").alias("__terms")), "masks")
     masks = F.array(*[F.lit(MASKS[k]) for k in PATTERNS])
 
     def replaced(t: Column) -> Column:
         hits = F.sort_array(
             F.concat(
-                F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(masks, x["kind"]).alias("mask"))),
-                F.transform("terms", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _generalised(F.substring(t, x["start"] + 1, x["end"] - x["start"]), x["disclosure"]).alias("mask"))),
+                F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(masks, x["kind"]).alias("mask"))),
+                F.transform("__terms", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _generalised(F.substring(t, x["start"] + 1, x["end"] - x["start"]), x["disclosure"]).alias("mask"))),
             )
         )
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -201,8 +221,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(hits, zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
 
-    keyed = base.withColumns({"t1": F.xxhash64(text), "t2": F.crc32(text.cast("binary"))}).join(found, ["t1", "t2"], "left")
-    return keyed.withColumn("text", F.when(F.col("base").isNull(), F.col("text")).otherwise(replaced(F.col("text")))).select(base.columns)
+    keyed = docs.withColumns({"__t1": F.xxhash64(text), "__t2": F.crc32(text.cast("binary"))}).join(found, ["__t1", "__t2"], "left")
+    return keyed.withColumn("text", F.when(F.col("__base").isNull(), F.col("text")).otherwise(replaced(F.col("text")))).select(*docs.columns)
 
 
 def _generalised(word: Column, disclosure: Column) -> Column:

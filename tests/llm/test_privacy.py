@@ -2,6 +2,8 @@ import hashlib
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm import privacy
 
 from .common import awkward, docs_frame, prose, saved
@@ -43,27 +45,27 @@ TERM = rf"(?<![^{SPACE}])[^\W\d_]{{3,}}(?=[.,;:!?]*(?:[{SPACE}]|\Z))"
 
 def brute(rows):
     found = [(i, t or "", base(t)) for i, t in rows]
-    near, n_t, n_e, n_et, texts = [], {}, {}, {}, {}
+    n, n_t, n_e, n_et = len(rows), {}, {}, {}
     for _, t, b in found:
-        here = set()
-        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(TERM, t)]
-        for s, _, e, x in b:
-            here |= {(x, w, a, z) for a, z, w in words if (a >= s - privacy.WINDOW and z <= s) or (a >= e and z <= e + privacy.WINDOW)}
-        near.append(here)
+        words = {m[0].lower() for m in re.finditer(TERM, t)}
+        entities = {x for *_, x in b}
         for w in {m[0] for m in re.finditer(TERM, t.lower())}:
             n_t[w] = n_t.get(w, 0) + 1
-        for x in {x for *_, x in b}:
+        for x in entities:
             n_e[x] = n_e.get(x, 0) + 1
-        for p in {(x, w) for x, w, _, _ in here}:
-            n_et[p] = n_et.get(p, 0) + 1
-            texts.setdefault(p, set()).add(t)
-    n = len(rows)
-    for (i, _, b), here in zip(found, near):
-        terms = set()
-        for x, w, a, z in here:
-            bits = math.log2(n / n_e[x])
-            if n_e[x] >= privacy.LEAST_TEXTS and bits >= privacy.LEAST_BITS and len(texts[x, w]) >= privacy.LEAST_TEXTS and math.log2(n * n_et[x, w] / (n_e[x] * n_t[w])) / bits >= privacy.GENERALISE:
-                terms.add((a, 4, z))
+            for w in words:
+                n_et[x, w] = n_et.get((x, w), 0) + 1
+
+    def told(x, w):
+        e, t, both = n_e[x], n_t[w], n_et[x, w]
+        if e == n or math.log2(n * both / (e * t)) / math.log2(n / e) < privacy.GENERALISE:
+            return False
+        bits = both * math.log2(both * n / (t * e)) + ((t - both) * math.log2((t - both) * n / (t * (n - e))) if t > both else 0)
+        return bits >= -math.log2(privacy.CHANCE)
+
+    for i, t, b in found:
+        entities = {x for *_, x in b}
+        terms = {(m.start(), 4, m.end()) for m in re.finditer(TERM, t) if any(told(x, m[0].lower()) for x in entities)}
         listing = lambda s: ",".join(f"{ORDER[k]}:{a}:{z}" for a, k, z in sorted(s))
         plain = {(a, k, z) for a, k, z, _ in b}
         yield (i, *(sum(k == j for _, j, _, _ in b) for k in range(4)), hashlib.sha256(listing(plain).encode()).hexdigest(), listing(plain | terms))
@@ -77,7 +79,8 @@ def rows_with_data():
     rows = [*awkward(), *((300 + i, t) for i, t in enumerate(odd))]
     rows += [(400 + i, f"{prose(30, i)} Contact Zebulon, agent zebulon at zeb@hidden.example.com today {prose(20, 50 + i)}") for i in range(4)]
     rows += [(500 + i, prose(15, 900 + i)) for i in range(400)]
-    rows += [(950, rows[-410][1])]
+    rows += [(1000 + i, f"{prose(6, 70 + i % 9)} Marlow Jorund ask 10.9.8.{i % 5} {'or marlow@sea.example.org' if i % 3 else ''} {prose(4, 30 + i % 4)}") for i in range(90)]
+    rows += [(950, rows[-500][1])]
     return rows
 
 
@@ -99,6 +102,8 @@ def test_sanitised_text(spark):
     assert len(out) == len(rows) and out[999].text is None and out[998].text == "no data" and out[20].text == prose(5, 20)
     assert "zeb@" not in out[0].text and "ebulon" not in out[0].text and "[EMAIL]" in out[0].text
     assert out[0].bucket == "b" and out[0].id == "x"
+    clash = docs_frame(spark, rows).withColumns({"base": F.lit(1), "terms": F.lit(2), "t1": F.lit(3), "told": F.lit(4)})
+    assert {r.doc_id: r.text for r in privacy.sanitised(clash).where("base = 1 AND terms = 2 AND t1 = 3").collect()} == {i: r.text for i, r in out.items()}
 
 
 def test_plan_has_no_python(spark):
