@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .packing import tokenizer_path
-from .textblocks import M1, block_of, hash_spans, mix, ragged, slices
+from .textblocks import M1, Index, block_of, hash_spans, mix, ragged, slices
 
 DROPOUT = 0.1
 SEED = 17
@@ -32,6 +32,8 @@ SEED = 17
 LONG_CHUNK = 48
 #: Characters or candidates of occurrences that are worked on at a time.
 PART = 1 << 20
+#: Bytes of text encoded at a time: equal chunks of them are encoded once.
+BLOCK = 4 << 20
 MARK = "▁"
 NONE = np.iinfo(np.int32).max
 
@@ -56,7 +58,7 @@ class Vocabulary:
         self.rank[order] = np.arange(len(order))
         self.of_rank = np.array(order, np.int32)
         pairs = sorted((normal[x[:k]] * n + normal[x[k:]], self.rank[i]) for x, i in normal.items() for k in range(1, len(x)) if x[:k] in normal and x[k:] in normal)
-        self.n, self.pair, self.pair_rank = n, np.array([p for p, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int32)
+        self.n, self.pair, self.pair_rank = n, Index(np.array([p for p, _ in pairs], np.uint64)), np.array([*(r for _, r in pairs), NONE], np.int32)
         self.char = np.full(0x110000, -1, np.int32)
         for x, i in normal.items():
             if len(x) == 1 and x != MARK:
@@ -69,9 +71,9 @@ class Vocabulary:
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the union of two pieces; NONE where it is no piece."""
-        key = left.astype(np.int64) * self.n + right
-        i = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[i] == key) & (left >= 0) & (right >= 0), self.pair_rank[i], NONE)
+        i = self.pair.find((left * self.n + right).view(np.uint64))
+        i[(left < 0) | (right < 0)] = -1
+        return self.pair_rank[i]  # -1: the last one, NONE
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -80,10 +82,14 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def skipped(key: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether the candidate of these pieces at this character is skipped, by its keyed hash."""
-    h = mix(key ^ mix((left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64) + at.astype(np.uint64) * M1))
-    return (h >> np.uint64(11)).astype(np.float64) < dropout * 2.0**53
+def candidate_hash(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of candidates of these pieces at these characters."""
+    return mix((left.astype(np.uint64) << np.uint64(32)) + right.astype(np.uint64) + at.astype(np.uint64) * M1)
+
+
+def skipped(key: np.ndarray, candidate: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether candidates are skipped, by the hash of key and candidate."""
+    return mix(key ^ candidate) >> np.uint64(11) < np.uint64(min(dropout, 1.0) * 2.0**53)
 
 
 def agenda(symbols: list[int], key: int, v: Vocabulary, dropout: float) -> list[tuple[int, int]]:
@@ -100,7 +106,7 @@ def agenda(symbols: list[int], key: int, v: Vocabulary, dropout: float) -> list[
         rank = v.merged(a, b)
         use = rank < NONE
         if dropout:
-            use &= ~skipped(np.full(len(at), key, np.uint64), np.maximum(a, 0), np.maximum(b, 0), at, dropout)
+            use &= ~skipped(np.full(len(at), key, np.uint64), candidate_hash(np.maximum(a, 0), np.maximum(b, 0), at), dropout)
         for i, r, x, y in zip(at[use].tolist(), rank[use].tolist(), a[use].tolist(), b[use].tolist()):
             heapq.heappush(heap, (r, i, x, y))
 
@@ -141,46 +147,42 @@ def merge_chunks(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, v: Vo
 
     def candidates(i: np.ndarray) -> np.ndarray:
         a, b = piece[i], piece[i + 1]
-        rank = np.where(chunk[i] == chunk[i + 1], v.merged(a, b), NONE)
+        rank = np.where(chunk[i] == chunk[i + 1], v.merged(a, b), NONE).astype(np.int64)
         if seen is not None:
             c = np.flatnonzero(rank < NONE)
             seen.append((chunk[i[c]], a[c], b[c], at[i[c]]))
         if dropout:
             c = np.flatnonzero(rank < NONE)
-            rank[c[skipped(key[chunk[i[c]]], a[c], b[c], at[i[c]], dropout)]] = NONE
+            rank[c[skipped(key[chunk[i[c]]], candidate_hash(a[c], b[c], at[i[c]]), dropout)]] = NONE
         return rank
 
     rank = np.full(len(piece), NONE, np.int64)
     if len(piece) > 1:
         rank[:-1] = candidates(np.arange(len(piece) - 1))
+    head = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(piece) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(chunk)])
     while len(piece):
-        head = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-        size = np.diff(np.r_[head, len(chunk)])
-        order = (rank << 32) + np.arange(len(rank))
-        best = np.minimum.reduceat(order, head)
+        best = np.minimum.reduceat((rank << 32) + np.arange(len(rank)), head)
         ended = (best >> 32) == NONE
+        i = (best & 0xFFFFFFFF)[~ended]
+        keep = np.ones(len(piece), bool)
         if ended.any():
             over = np.repeat(ended, size)
             done.append((chunk[over], piece[over], at[over]))
-            go = ~over
-            shift = np.cumsum(over)
-            chunk, piece, at, rank = chunk[go], piece[go], at[go], rank[go]
-            i = best[~ended] & 0xFFFFFFFF
-            i = i - shift[i]
-            if not len(piece):
-                break
-        else:
-            i = best & 0xFFFFFFFF
+            keep[over] = False
+            size = size[~ended]
         piece[i] = v.of_rank[rank[i]]
-        keep = np.ones(len(piece), bool)
         keep[i + 1] = False
-        i = i - np.arange(len(i))
+        i = (np.cumsum(keep) - 1)[i] if ended.any() else i - np.arange(len(i))
         chunk, piece, at, rank = chunk[keep], piece[keep], at[keep], rank[keep]
-        fresh = np.unique(np.concatenate([i, i - 1]))
-        fresh = fresh[fresh >= 0]
-        inner = fresh[fresh < len(piece) - 1]
-        rank[inner] = candidates(inner)
-        rank[-1] = NONE
+        size = size - 1
+        head = np.cumsum(size) - size
+        rank[i] = NONE
+        before = i[i > 0] - 1
+        before = before[chunk[before] == chunk[before + 1]]
+        after = i[i < len(piece) - 1]
+        fresh = np.concatenate([before, after[chunk[after] == chunk[after + 1]]])
+        rank[fresh] = candidates(fresh)
     if not done:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     c, p, a = (np.concatenate(x) for x in zip(*done))
@@ -196,9 +198,8 @@ def drawn(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, back: np.nda
     seen: list[tuple[np.ndarray, ...]] = []
     out = [merge_chunks(symbols, counts, np.zeros(len(counts), np.uint64), v, 0.0, seen)]
     chunk, left, right, place = (np.concatenate(x) for x in zip(*seen)) if seen else [np.zeros(0, np.int64)] * 4
-    order = np.lexsort((place, right, left, chunk))
-    order = order[np.r_[True, np.any([np.diff(x[order]) != 0 for x in (chunk, left, right, place)], axis=0)]] if len(order) else order
-    chunk, left, right, place = chunk[order], left[order], right[order], place[order]
+    order = np.argsort(chunk, kind="stable")
+    own = candidate_hash(left, right, place)[order]
     n = np.bincount(chunk, minlength=len(counts))
     begin, first = np.cumsum(n) - n, np.cumsum(counts) - counts
     of, mine = [np.arange(len(counts))], back.copy()
@@ -208,7 +209,7 @@ def drawn(symbols: np.ndarray, counts: np.ndarray, key: np.ndarray, back: np.nda
         row, k = ragged(n[back[part]])
         i = begin[back[part]][row] + k
         again = counts[back[part]] > LONG_CHUNK
-        again[row[skipped(key[part][row], left[i], right[i], place[i], dropout)]] = True
+        again[row[skipped(key[part][row], own[i], dropout)]] = True
         part = part[again]
         row, k = ragged(counts[back[part]])
         c, p, at = merge_chunks(symbols[first[back[part]][row] + k], counts[back[part]], key[part], v, dropout)
@@ -289,7 +290,7 @@ def encoded(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in slices(batches):
+        for b in slices(batches, most=BLOCK):
             ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
@@ -319,7 +320,7 @@ def encoding_digests(docs: DataFrame, model: str, dropout: float = DROPOUT, seed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in slices(batches):
+        for b in slices(batches, most=BLOCK):
             ids, at = encode(b.column("text"), b.column("doc_id").fill_null(-1).to_numpy(), v, dropout, seed)
             raw, to = decode(ids, at, v)
             data, offsets = block_of(b.column("text"))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -46,7 +47,7 @@ def slow(text, key, v, dropout):
         for i in range(len(sym) - 1):
             (a, x), (b, _) = sym[i], sym[i + 1]
             r = int(v.merged(np.array([a]), np.array([b]))[0])
-            if r == p.NONE or (dropout and p.skipped(np.array([key], np.uint64), np.array([a]), np.array([b]), np.array([x]), dropout)[0]):
+            if r == p.NONE or (dropout and p.skipped(np.array([key], np.uint64), p.candidate_hash(*(np.array([q]) for q in (a, b, x))), dropout)[0]):
                 continue
             if best is None or (r, i) < best:
                 best = (r, i)
@@ -88,6 +89,27 @@ def test_query(spark, tmp_path):
     assert sorted(((r.doc_id, r.n_ids, r.ids_crc32, r.decoded_sha256) for r in got), key=str) == sorted(want, key=str)
 
 
+def plain(text, number, v):
+    """A whole document by the slow agenda: chunk after chunk, each with its own key."""
+    out, chunks = [], re.findall(r" +[^ ]*|[^ ]+", text)
+    for j, c in enumerate(chunks):
+        inner = p.mix(p.mix(np.array([number], np.int64).view(np.uint64) + p.M1) ^ np.array([j], np.uint64))
+        key = int(p.mix(np.uint64(p.SEED * int(p.M1) % 2**64) + inner)[0])
+        c = c if j else " " + c
+        for piece, at in slow(c, key, v, p.DROPOUT):
+            out += [piece] if piece >= 0 else [v.byte0 + b for b in c[at].encode()]
+    return out
+
+
+def test_query_against_the_slow_agenda(spark, tmp_path):
+    v = p.vocabulary(PATH)
+    rows = [(i, t) for i, t in awkward() if len(t or "") < 1000 and i not in (9, 15)] + [(40 + i, prose(25, 70 + i).capitalize() + ", naïve  Straße 漢.\nEnd") for i in range(6)]
+    got = {r.doc_id: (r.n_ids, r.ids_crc32) for r in p.op7_merge_dropout(spark, saved(spark, tmp_path, rows)).collect()}
+    for i, t in rows:
+        ids = plain(t or "", -1 if i is None else i, v)
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
+
+
 def test_encode_and_decode_frames(spark):
     rows = awkward()
     back = p.decoded(p.encoded(docs_frame(spark, rows), PATH), PATH).collect()
