@@ -63,7 +63,7 @@ def composition(decks: DataFrame, lines: DataFrame, items: DataFrame, baskets: D
 def mean_cost(decks: DataFrame, items: DataFrame, basic: str) -> DataFrame:
     """(leader, mean_cost): weighted by copies, without basics."""
     j = decks.join(items.where(F.col("kind") != basic), "item")
-    return j.groupBy("leader").agg(F.round(F.sum(F.col("cost") * F.col("qty")) / F.sum("qty"), 4).alias("mean_cost"))
+    return j.groupBy("leader").agg(F.round((F.sum(F.col("cost") * F.col("qty")) / F.sum("qty")).cast("decimal(20,8)"), 2).cast("double").alias("mean_cost"))
 
 
 def leader_suggestions(rates: DataFrame, decks: DataFrame, k: int = 3) -> DataFrame:
@@ -74,7 +74,7 @@ def leader_suggestions(rates: DataFrame, decks: DataFrame, k: int = 3) -> DataFr
 
 def detected_leader(cards: DataFrame, rates: DataFrame) -> DataFrame:
     """(basket_id, leader, score, matched): the leader with the best mean rate over the basket's known items, then most matches."""
-    s = cards.join(rates.select(F.col("leader").alias("guess"), "item", "rate"), "item").groupBy("basket_id", "guess").agg(F.round(F.avg("rate"), 10).alias("score"), F.count("*").alias("matched"))
+    s = cards.join(rates.select(F.col("leader").alias("guess"), "item", "rate"), "item").groupBy("basket_id", "guess").agg(F.round((F.sum(F.col("rate").cast("decimal(12,4)")).cast("double") / F.count("*")).cast("decimal(20,8)"), 2).cast("double").alias("score"), F.count("*").alias("matched"))
     r = F.row_number().over(W.partitionBy("basket_id").orderBy(F.desc("score"), F.desc("matched"), "guess"))
     return s.withColumn("r", r).where("r = 1").select("basket_id", F.col("guess").alias("leader"), "score", "matched")
 
@@ -88,3 +88,99 @@ def item_source(items: DataFrame, decks: DataFrame, collection: DataFrame, opene
     d = decks.groupBy("item").agg(F.array_join(F.sort_array(F.collect_set("leader")), ",").alias("decks"))
     j = items.select("item").join(d, "item", "left").join(collection.select("item", F.lit(True).alias("c")), "item", "left").join(opened.select("item", F.lit(True).alias("o")), "item", "left")
     return j.select("item", F.when(F.col("decks").isNotNull(), "in_deck").when(F.col("c"), "collection").when(F.col("o"), "opened_sets").alias("source"), "decks")
+
+
+def rate_of(pairs: DataFrame, rates: DataFrame) -> DataFrame:
+    """(leader, item, rate, n, total) of pairs (leader, item): rate to one place; null where the item was never found with the leader."""
+    one = F.round(F.col("rate").cast("decimal(12,4)"), 1).cast("double").alias("rate")
+    return pairs.select("leader", "item").join(rates.select("leader", "item", one, "n", "total"), ["leader", "item"], "left").select("leader", "item", "rate", "n", "total")
+
+
+def decks_with(decks: DataFrame) -> DataFrame:
+    """(item, decks): the leaders whose decks hold the item, in order, comma-joined."""
+    return decks.groupBy("item").agg(F.array_join(F.sort_array(F.collect_set("leader")), ",").alias("decks"))
+
+
+def deck_list(configured: DataFrame, local: DataFrame) -> DataFrame:
+    """(rank, name, source): configured decks and the local ones that no configured one covers, whatever the case of the name; by name."""
+    key = F.lower("name")
+    fresh = local.withColumn("k", key).join(configured.select(key.alias("k")).distinct(), "k", "left_anti").select("name", F.lit("local").alias("source"))
+    both = configured.select("name", F.lit("configured").alias("source")).unionByName(fresh)
+    return both.withColumn("rank", F.row_number().over(W.orderBy(F.lower("name"), "name", "source")))
+
+
+def allowed_leaders(first: DataFrame, second: DataFrame, key) -> DataFrame:
+    """(key, name): the names of two lists by key; the first list's spelling counts."""
+    both = first.select("name", F.lit(0).alias("p")).unionByName(second.select("name", F.lit(1).alias("p"))).withColumn("key", key(F.col("name")))
+    return both.groupBy("key").agg(F.min(F.struct("p", "name")).alias("x")).select("key", "x.name")
+
+
+def partner_rates(names: DataFrame, totals: DataFrame) -> DataFrame:
+    """(name, leader, total): which known leader (leader, total) stands for "A + B": the whole name or a part, the one with most baskets; the first of equals."""
+    parts = F.concat(F.array(F.col("name")), F.transform(F.split("name", r"\+"), lambda x: F.trim(x)))
+    each = names.select("name", F.posexplode(parts).alias("at", "leader")).join(totals, "leader")
+    return each.groupBy("name").agg(F.max(F.struct("total", (-F.col("at")).alias("at"), "leader")).alias("x")).select("name", "x.leader", "x.total")
+
+
+def matched_files(names: DataFrame, stems: DataFrame) -> DataFrame:
+    """(name, stem, pass): the file of each name: its stem holds the name; else all words of four letters or more; else the first of these.
+
+    Of several files of a pass the first by stem. Both lists are short: they are joined on the longest way, name by file.
+    """
+    words = F.filter(F.split("n", " +"), lambda w: F.length(w) >= 4)
+    n = names.select("name", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", " ")).alias("n")).withColumn("w", words)
+    f = stems.select("stem", F.regexp_replace(F.lower("stem"), "[^a-z0-9 ]", " ").alias("f"))
+    some = F.size("w") > 0
+    way = F.when(F.contains("f", "n"), 1).when(some & F.forall("w", lambda w: F.contains(F.col("f"), w)), 2).when(some & F.contains(F.col("f"), F.get("w", 0)), 3)
+    j = n.join(F.broadcast(f), F.lit(True)).withColumn("pass", way).where("pass IS NOT NULL")
+    return j.groupBy("name").agg(F.min(F.struct("pass", "stem")).alias("x")).select("name", "x.stem", "x.pass")
+
+
+def first_type(line, types: list[str]):
+    """The first of the types, in their order, that the line holds, whatever the case; else null."""
+    out = F
+    for t in types:
+        out = out.when(F.contains(F.lower(line), F.lit(t.lower())), F.lit(t))
+    return out
+
+
+def face_names(items: DataFrame) -> DataFrame:
+    """(name, type, cost) of items (item, name, type, cost) with a type: the whole name, and what stands before // where no whole name says so; the smallest item of a name."""
+    known = items.where("type IS NOT NULL")
+    whole = known.select("name", F.lit(0).alias("p"), "item", "type", "cost")
+    front = known.where(F.contains("name", F.lit("//"))).select(F.trim(F.get(F.split("name", "//"), 0)).alias("name"), F.lit(1).alias("p"), "item", "type", "cost")
+    return whole.unionByName(front).groupBy("name").agg(F.min(F.struct("p", "item", "type", "cost")).alias("x")).select("name", "x.type", "x.cost")
+
+
+def face_lands(items: DataFrame, faces: DataFrame, word: str) -> DataFrame:
+    """(name): names, and their parts before //, of items with a face without cost whose line holds the word, or whose own line holds it after //."""
+    land = faces.where(F.col("mana_cost").isNull() & F.col("line").ilike(f"%{word}%")).select("item")
+    own = items.where(F.col("line").ilike(f"% // %{word}%")).select("item")
+    names = items.join(land.unionByName(own), "item", "left_semi").select("name")
+    return names.unionByName(names.where(F.contains("name", F.lit("//"))).select(F.trim(F.get(F.split("name", "//"), 0)).alias("name"))).distinct()
+
+
+def shortened(text, length: int = 280):
+    """The text, cut after so many characters with an ellipsis."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit("…"))).otherwise(text)
+
+
+def labelled_rates(rates: DataFrame) -> DataFrame:
+    """(leader, item, rate, label, badge): bands of the rate under 20, 40 and 60, and of the share over 0.7 and 0.5."""
+    label = F.when(F.col("rate") < 20, "low").when(F.col("rate") < 40, "fair").when(F.col("rate") < 60, "good").otherwise("high")
+    badge = F.when(F.col("rate") > 70, "strong").when(F.col("rate") > 50, "medium").otherwise("weak")
+    return rates.select("leader", "item", "rate", label.alias("label"), badge.alias("badge"))
+
+
+def deck_means_of_kind(lines: DataFrame, items: DataFrame, baskets: DataFrame) -> DataFrame:
+    """(leader, kind, mean): copies of each kind in a basket, on the mean of all baskets of the leader, to one place."""
+    per = lines.join(items.select("item", "kind"), "item").groupBy("leader", "basket_id", "kind").agg(F.sum("qty").alias("q"))
+    n = baskets.groupBy("leader").agg(F.count("*").alias("decks"))
+    return per.groupBy("leader", "kind").agg(F.sum("q").alias("s")).join(n, "leader").select("leader", "kind", F.round((F.col("s") / F.col("decks")).cast("decimal(20,8)"), 1).cast("double").alias("mean"))
+
+
+def mean_cost_of_decks(lines: DataFrame, items: DataFrame, baskets: DataFrame, basic: str) -> DataFrame:
+    """(leader, mean_cost): the mean of the baskets' rounded mean costs over all baskets, those without any cost included, to two places."""
+    per = lines.join(items.where(F.col("kind") != basic).select("item", "cost"), "item").groupBy("leader", "basket_id").agg(F.round((F.sum(F.col("cost") * F.col("qty")) / F.sum("qty")).cast("decimal(20,8)"), 2).alias("c"))
+    n = baskets.groupBy("leader").agg(F.count("*").alias("decks"))
+    return per.groupBy("leader").agg(F.sum("c").alias("s")).join(n, "leader").select("leader", F.round((F.col("s") / F.col("decks")).cast("decimal(20,8)"), 2).cast("double").alias("mean_cost"))

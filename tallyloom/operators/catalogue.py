@@ -17,7 +17,7 @@ def search(items: DataFrame, printings: DataFrame, pattern: str, k: int) -> Data
     """Items whose name is like the pattern, whatever the case, with their printings; by cost (null last), name, item."""
     order = [F.asc_nulls_last("cost"), F.asc("name"), F.asc("item")]
     found = items.where(F.col("name").ilike(pattern)).select("item", "name", "cost").orderBy(*order).limit(k)
-    return found.join(best_printings(printings), "item", "left")
+    return found.join(best_printings(printings.join(F.broadcast(found.select("item")), "item", "left_semi")), "item", "left")  # k rows at most
 
 
 def autocomplete(branches: list[DataFrame], k: int) -> DataFrame:
@@ -74,3 +74,60 @@ def checked(counts: dict[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def share_of(rows: DataFrame, what: str, holds: Column) -> DataFrame:
+    """(name, rows, holding, percent, ok): how many rows hold something; none of them fails."""
+    m = rows.agg(F.count("*").alias("rows"), F.count_if(holds).alias("holding"))
+    percent = F.round((100 * F.col("holding") / F.when(F.col("rows") > 0, F.col("rows"))).cast("decimal(20,8)"), 1).cast("double")
+    return m.select(F.lit(what).alias("name"), "rows", "holding", F.coalesce(percent, F.lit(0.0)).alias("percent"), (F.col("holding") > 0).alias("ok"))
+
+
+def covered(items: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """(items, covered, bare): how many items have a row in parts."""
+    have = items.select(key).distinct().join(parts.select(key).where(F.col(key).isNotNull()).distinct().withColumn("y", F.lit(1)), key, "left")
+    return have.agg(F.count("*").alias("items"), F.count("y").alias("covered")).select("items", "covered", (F.col("items") - F.col("covered")).alias("bare"))
+
+
+def priced(printings: DataFrame) -> DataFrame:
+    """(currency, printings): distinct printings of an item with a price in each currency."""
+    return printings.where(F.col("price").isNotNull()).groupBy("currency").agg(F.count_distinct("item", "printing").alias("printings"))
+
+
+def last_run(runs: DataFrame, success: str) -> DataFrame:
+    """(run, status, ok) of the last of runs (run, status); no row fails a check by being absent."""
+    return runs.agg(F.max_by(F.struct("run", "status"), "run").alias("x")).select("x.run", "x.status", F.coalesce(F.col("x.status") == success, F.lit(False)).alias("ok"))
+
+
+def references(items: DataFrame, names: list[str], prices: DataFrame) -> DataFrame:
+    """(name, item, day, price, ok): each reference name with the smallest item of that name and its latest price; absent ones fail."""
+    spark = items.sparkSession
+    want = spark.createDataFrame([(n,) for n in names], "name string")
+    found = items.groupBy("name").agg(F.min("item").alias("item"))
+    return want.join(found, "name", "left").join(latest_prices(prices), "item", "left").select("name", "item", "day", "price", F.col("item").isNotNull().alias("ok"))
+
+
+def tag_inventory(items: DataFrame, tags: DataFrame, k: int = 20) -> DataFrame:
+    """(rank, tag, items, coverage): the k commonest tags, and the share of all items that have any tag."""
+    n = items.agg(F.count_distinct("item").alias("n"))
+    with_tag = tags.agg(F.count_distinct("item").alias("t"))
+    share = F.round((F.col("t") / F.when(F.col("n") > 0, F.col("n"))).cast("decimal(20,8)"), 4).cast("double")
+    top = tags.groupBy("tag").agg(F.count_distinct("item").alias("items")).orderBy(F.desc("items"), "tag").limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("items"), "tag"))).crossJoin(F.broadcast(n.crossJoin(with_tag))).select("rank", "tag", "items", share.alias("coverage"))
+
+
+def searched(items: DataFrame, printings: DataFrame, pattern: str, k: int) -> DataFrame:
+    """(item, name, cost, image, price): as the search, with the printing whose picture is shown: the dearest, else the first; by rows of all days."""
+    order = [F.asc_nulls_last("cost"), F.asc("name"), F.asc("item")]
+    found = items.where(F.col("name").ilike(pattern)).select("item", "name", "cost").orderBy(*order).limit(k)
+    own = printings.join(F.broadcast(found.select("item")), "item", "left_semi")
+    dear = own.where("price IS NOT NULL").groupBy("item").agg(F.min_by("printing", F.struct(-F.col("price"), "printing")).alias("dear"))
+    first = own.groupBy("item").agg(F.min("printing").alias("first"))
+    least = own.where("price > 0").groupBy("item").agg(F.min("price").alias("price"))
+    return found.join(dear, "item", "left").join(first, "item", "left").join(least, "item", "left").select("item", "name", "cost", F.coalesce("dear", "first").alias("image"), "price")
+
+
+def recently_changed(files: DataFrame, since: DataFrame) -> DataFrame:
+    """(name, sync): whether a file (name, changed) is newer than its last sync (name, synced); files without one are."""
+    j = files.join(since, "name", "left")
+    return j.select("name", (F.col("synced").isNull() | (F.col("changed") > F.col("synced"))).alias("sync"))

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .hybrid import compatible
 
-def features(profile: DataFrame, frequency: DataFrame, items: DataFrame, hybrids: DataFrame) -> DataFrame:
-    """(leader, item, cosine, tfidf_norm, idf, cost, frequency, label): label is ln(1 + rate); missing values are 0."""
+
+def features(profile: DataFrame, frequency: DataFrame, items: DataFrame, hybrids: DataFrame, item_colours: DataFrame, leader_colours: DataFrame) -> DataFrame:
+    """(leader, item, cosine, tfidf_norm, idf, cost, frequency, compatible, label): label is ln(1 + rate); missing values are 0, unknown colours fit."""
     z = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     j = profile.join(hybrids.select("leader", "item", "cosine"), ["leader", "item"]).join(frequency.select("item", "frequency"), "item", "left").join(items.select("item", F.col("cost").cast("double").alias("cost")), "item", "left")
-    return j.select("leader", "item", z("cosine"), z("tfidf_norm"), z("idf"), z("cost"), z("frequency"), F.round(F.log1p("rate"), 6).alias("label"))
+    j = j.join(item_colours.select("item", F.col("colours").alias("ic")), "item", "left").join(leader_colours.select("leader", F.col("colours").alias("lc")), "leader", "left")
+    return j.select("leader", "item", z("cosine"), z("tfidf_norm"), z("idf"), z("cost"), z("frequency"), compatible(F.col("ic"), F.col("lc")).cast("double").alias("compatible"), F.round(F.log1p("rate"), 6).alias("label"))
 
 
 def held_out(groups: DataFrame, key: str, share: float = 0.2) -> DataFrame:
@@ -52,18 +56,21 @@ def item_vectors(lines: DataFrame, size: int = 128, window: int = 10, least: int
     return model.getVectors().select(F.col("word").cast("long").alias("item"), vector_to_array("vector").alias("vec"))
 
 
-def rate_model(rows: DataFrame, split: DataFrame, columns: list[str], rounds: int = 20, seed: int = 42):
-    """(model, predictions of the held-out groups) of boosted trees on label."""
+def rate_model(rows: DataFrame, split: DataFrame, columns: list[str], rounds: int = 500, seed: int = 42):
+    """(model, predictions of the held-out groups) of boosted trees on label; rounds end when the held-out error no longer falls."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     x = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.join(split, "leader"))
-    model = GBTRegressor(featuresCol="x", labelCol="label", maxDepth=6, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed).fit(x.where("NOT held_out"))
-    return model, model.transform(x.where("held_out")).select("leader", "item", "label", "prediction")
+    model = GBTRegressor(featuresCol="x", labelCol="label", maxDepth=6, stepSize=0.05, subsamplingRate=0.8, maxIter=rounds, seed=seed, validationIndicatorCol="held_out", validationTol=0.001).fit(x)
+    return model, model.transform(x.where("held_out")).select("leader", "item", "label", "prediction", *columns)
 
 
 def clustered(vectors: DataFrame, ks: tuple[int, ...] = (25, 50, 75), variance: float = 0.95, seed: int = 42) -> DataFrame:
-    """(item, group): normalised vectors reduced to components that hold `variance`, grouped by the k-means of best silhouette."""
+    """(item, group): normalised vectors reduced to components that hold `variance`, grouped by the k-means of best silhouette.
+
+    A k that is not under the number of vectors is left out; if all are, one group holds all.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import PCA, Normalizer, VectorSlicer
@@ -71,12 +78,48 @@ def clustered(vectors: DataFrame, ks: tuple[int, ...] = (25, 50, 75), variance:
 
     x = Normalizer(inputCol="v", outputCol="n").transform(vectors.select("item", array_to_vector("vec").alias("v")))
     size = len(x.select("v").first()["v"])
-    pca = PCA(k=min(size, 64), inputCol="n", outputCol="all").fit(x)
+    pca = PCA(k=size, inputCol="n", outputCol="all").fit(x)
     held, keep = 0.0, 0
     for share in pca.explainedVariance:
         held, keep = held + share, keep + 1
         if held >= variance:
             break
-    y = VectorSlicer(inputCol="all", outputCol="r", indices=list(range(keep))).transform(pca.transform(x)).select("item", "r").persist()
+    y = VectorSlicer(inputCol="all", outputCol="r", indices=list(range(keep))).transform(pca.transform(x)).select("item", "r")
+    y = stored(y, "components")
+    n = y.count()
+    ks = [k for k in ks if k < n]
+    if not ks:
+        return y.select("item", F.lit(0).alias("group"))
     best = max((KMeans(k=k, seed=seed, featuresCol="r", predictionCol="group").fit(y).transform(y) for k in ks), key=ClusteringEvaluator(featuresCol="r", predictionCol="group").evaluate)
     return best.select("item", F.col("group"))
+
+
+def described(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, median, std, least, most, q1, q3) of a value: sample deviation, linear quantiles, 6 places."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return rows.groupBy(key).agg(F.count(value).alias("n"), r(F.avg(value), "mean"), r(F.median(value), "median"), r(F.stddev_samp(value), "std"), F.min(value).alias("least"), F.max(value).alias("most"), r(F.percentile(value, F.lit(0.25)), "q1"), r(F.percentile(value, F.lit(0.75)), "q3"))
+
+
+def empty_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, empty): how many values of each column are null or not a number."""
+    bad = lambda c: F.count_if(F.col(c).isNull() | F.isnan(c))
+    counts = rows.agg(*[bad(c).alias(c) for c in columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("empty")) for c in columns])).alias("x")).select("x.feature", "x.empty")
+
+
+def importances(model, columns: list[str], spark) -> DataFrame:
+    """(feature, importance) of a tree model, the largest first."""
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray())], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def error_scales(guess: DataFrame) -> DataFrame:
+    """(scale, rmse, mae, r2) of predictions of a log label, on the log scale and on the raw one."""
+    raw = guess.select(F.expm1("label").alias("label"), F.expm1("prediction").alias("prediction"))
+    return errors(guess, "label", "prediction").withColumn("scale", F.lit("log")).unionByName(errors(raw, "label", "prediction").withColumn("scale", F.lit("raw")))
+
+
+def errors_by_tercile(guess: DataFrame, by: str) -> DataFrame:
+    """(tercile, n, mae): the error where a feature is in its lowest third, between, and in its highest (percentiles 33 and 66)."""
+    cut = guess.agg(F.percentile(by, F.lit(0.33)).alias("a"), F.percentile(by, F.lit(0.66)).alias("b"))
+    third = F.when(F.col(by) <= F.col("a"), "low").when(F.col(by) <= F.col("b"), "middle").otherwise("high")
+    return guess.crossJoin(F.broadcast(cut)).groupBy(third.alias("tercile")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("label") - F.col("prediction"))), 6).alias("mae"))

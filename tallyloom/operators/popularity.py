@@ -28,6 +28,23 @@ def removals(mine: DataFrame, rates: DataFrame, frequency: DataFrame, k: int = 2
     return j.withColumn("rank", rank).where(F.col("rank") <= k).select("owner", "rank", "item", "support", "frequency")
 
 
+def additions_or_fallback(mine: DataFrame, rates: DataFrame, items: DataFrame, k: int = 20, least: int = 20) -> DataFrame:
+    """As additions; owners with fewer than `least` of them, such as those of unknown leaders, get the items co-occurring most with theirs."""
+    own = additions(mine, rates, max(k, least))
+    known = own.groupBy("owner").agg(F.count("*").alias("m")).where(F.col("m") >= least).select("owner")
+    rest = mine.join(known, "owner", "left_anti")
+    return own.join(known, "owner", "left_semi").where(F.col("rank") <= k).withColumn("way", F.lit("leader")).unionByName(cooccurrence_scores(rest, items, k).withColumn("way", F.lit("together")))
+
+
+def pairwise_support(lists: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+    """(owner, rank, item, support): the k items of each list (owner, item) least found in one basket with its others; for lists of unknown leaders."""
+    own = lists.select("owner", "item").distinct()
+    pairs = cooccurrence(items, own)
+    s = own.join(pairs, "item").join(own.select("owner", F.col("item").alias("other")), ["owner", "other"], "left_semi").groupBy("owner", "item").agg(F.sum("n").alias("s"))
+    j = own.join(s, ["owner", "item"], "left").select("owner", "item", F.coalesce("s", F.lit(0)).alias("support"))
+    return j.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("support", "item"))).where(F.col("rank") <= k)
+
+
 def cooccurrence(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(item, other, n): baskets that hold both. With `wanted`, item is one of those: the semi-join comes before the self-join."""
     left = items.select("basket_id", "item")

@@ -76,3 +76,52 @@ def accuracy(prediction: DataFrame, vectors: DataFrame) -> DataFrame:
     hit = prediction.withColumnRenamed("cluster", "guess").join(vectors.select("item", "cluster"), "item").groupBy("item").agg(F.min(F.when(F.col("guess") == F.col("cluster"), F.col("rank"))).alias("r"))
     share = lambda n: F.round(F.avg(F.when(F.col("r") <= n, 1.0).otherwise(0.0)), 6)
     return hit.agg(F.count("*").alias("items"), share(1).alias("top1"), share(3).alias("top3"), share(5).alias("top5"))
+
+
+def cosine_prediction(item_tags: DataFrame, given: DataFrame, k: int = 5) -> DataFrame:
+    """(item, rank, cluster, score): cosine of TF-IDF, of the item's tags to a document for each cluster that repeats a tag max(1, int(10 p)) times.
+
+    given: (cluster, tag, p). idf is ln((1 + clusters) / (1 + clusters with the tag)) + 1; tags that no cluster has don't count.
+    """
+    doc = given.select("cluster", "tag", F.greatest(F.lit(1), F.floor(10 * F.col("p"))).alias("tf"))
+    n = doc.agg(F.count_distinct("cluster").alias("n"))
+    idf = doc.groupBy("tag").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("tag", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    d = doc.join(idf, "tag").select("cluster", "tag", (F.col("tf") * F.col("idf")).alias("d"))
+    d_norm = d.groupBy("cluster").agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("dn"))
+    q = item_tags.groupBy("item", "tag").agg(F.count("*").alias("tf")).join(idf, "tag").select("item", "tag", (F.col("tf") * F.col("idf")).alias("q"))
+    q_norm = q.groupBy("item").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
+    s = q.join(d, "tag").groupBy("item", "cluster").agg(F.sum(F.col("q") * F.col("d")).alias("s")).join(q_norm, "item").join(d_norm, "cluster")
+    s = s.select("item", "cluster", F.round(F.col("s") / (F.col("qn") * F.col("dn")), 6).alias("score")).where("score > 0")
+    return s.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), "cluster"))).where(F.col("rank") <= k).select("item", "rank", "cluster", "score")
+
+
+def discriminant(given: DataFrame, least: float = 0.5, k: int = 20) -> DataFrame:
+    """(rank, tag, clusters, most): the k tags with the largest P(cluster | tag), over `least`; clusters: those over 0.1."""
+    g = given.groupBy("tag").agg(F.count_if(F.col("p") > 0.1).alias("clusters"), F.max("p").alias("most")).where(F.col("most") > least)
+    return g.orderBy(F.desc("most"), "tag").limit(k).withColumn("rank", F.row_number().over(W.orderBy(F.desc("most"), "tag"))).select("rank", "tag", "clusters", "most")
+
+
+def eligible(rows: DataFrame, least: int = 3, k: int = 500, seed: int = 42) -> DataFrame:
+    """(item): k of the items with at least so many tags, the first by a keyed hash."""
+    some = rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("item")
+    return some.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "item")), "item").limit(k)
+
+
+def accuracy_by_cluster(predictions: dict[str, DataFrame], vectors: DataFrame, sample: DataFrame) -> DataFrame:
+    """(method, cluster, items, top1, top3, top5) of predictions (item, rank, cluster) over a sample (item), by true cluster."""
+    own = vectors.select("item", "cluster").join(sample.select("item"), "item", "left_semi")
+    share = lambda n: F.round(F.avg(F.when(F.col("r") <= n, 1.0).otherwise(0.0)), 6)
+    parts = []
+    for method, p in predictions.items():
+        hit = own.join(p.select("item", "rank", F.col("cluster").alias("guess")), "item", "left").groupBy("item", "cluster").agg(F.min(F.when(F.col("guess") == F.col("cluster"), F.col("rank"))).alias("r"))
+        parts.append(hit.groupBy("cluster").agg(F.count("*").alias("items"), share(1).alias("top1"), share(3).alias("top3"), share(5).alias("top5")).withColumn("method", F.lit(method)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def profiles(rows: DataFrame, families: DataFrame, k: int = 5) -> DataFrame:
+    """(item, cluster, family, tags): the first k tags of each item, joined, with its cluster and that cluster's family."""
+    own = rows.groupBy("item").agg(F.min("cluster").alias("cluster"), F.array_join(F.slice(F.sort_array(F.collect_list("tag")), 1, k), "|").alias("tags"))
+    return own.join(families.select("cluster", "family"), "cluster", "left").select("item", "cluster", F.coalesce("family", F.lit("")).alias("family"), "tags")

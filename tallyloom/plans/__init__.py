@@ -1 +1,6 @@
+"""The registered queries of the library, and DuckDB SQL for those that SQL can express."""
 
+from . import more, queries
+
+QUERIES = {**queries.QUERIES, **more.QUERIES}
+SQL = {**queries.SQL, **more.SQL}

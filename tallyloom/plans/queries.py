@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from ..operators import advisor, catalogue, hybrid, ml, popularity, stats, tags, vectors
 from ..sources.driver_tables import BASIC, Tables
+from ..storage import stored
 
 
 class Derived(Tables):
-    """Canonical tables and what is derived from them, each built once for a query."""
+    """Canonical tables and what is derived from them. If kept, each is stored once for a query that reads it often."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, kept: bool = False):
         super().__init__(spark, folder)
         self.made: dict[str, DataFrame] = {}
+        self.kept = kept
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self.made:
-            self.made[name] = make()
+            self.made[name] = stored(make(), name) if self.kept else make()
         return self.made[name]
 
+    def basket_items(self) -> DataFrame:
+        return self.once("basket_items", super().basket_items)
+
+    def decks(self) -> DataFrame:
+        return self.once("decks", super().decks)
+
     def rates(self) -> DataFrame:
         return self.once("rates", lambda: stats.leader_rates(self.basket_items(), self.baskets()))
 
@@ -34,10 +42,13 @@ class Derived(Tables):
 
     def mine(self) -> DataFrame:
         """(owner, leader, item): all that an owner has ever put in a basket."""
-        return self.lines().join(self.items().where(F.col("kind") != BASIC).select("item"), "item").select("owner", "leader", "item").distinct()
+        return self.once("mine", lambda: self.lines().join(self.items().where(F.col("kind") != BASIC).select("item"), "item").select("owner", "leader", "item").distinct())
+
+    def tagged(self) -> DataFrame:
+        return tags.tagged(self.tags(), self.vectors())
 
     def given(self) -> DataFrame:
-        return tags.cluster_given_tag(tags.tagged(self.tags(), self.vectors()))
+        return self.once("given", lambda: tags.cluster_given_tag(self.tagged()))
 
     def weights(self) -> DataFrame:
         return self.once("weights", lambda: tags.leader_weights(self.profile(), self.vectors()))
@@ -47,38 +58,52 @@ class Derived(Tables):
 
     def hybrids(self) -> DataFrame:
         """Scores of all items of the leaders' profiles and decks."""
-        pairs = self.profile().select("leader", "item").unionByName(self.decks().select("leader", "item")).distinct()
-        scores = hybrid.tag_scores(pairs, self.tags(), self.given(), self.weights())
-        return self.once("hybrids", lambda: hybrid.hybrid(pairs, self.profile(), self.vectors(), self.weights(), scores, self.leader_vectors()))
+
+        def make() -> DataFrame:
+            pairs = self.profile().select("leader", "item").unionByName(self.decks().select("leader", "item")).distinct()
+            scores = hybrid.tag_scores(pairs, self.tags(), self.given(), self.weights())
+            return hybrid.hybrid(pairs, self.profile(), self.vectors(), self.weights(), scores, self.leader_vectors())
+
+        return self.once("hybrids", make)
 
     def gaps(self) -> DataFrame:
         return self.once("gaps", lambda: hybrid.gaps(self.decks(), self.vectors(), self.weights()))
 
+    def protected(self) -> DataFrame:
+        """(item): items that are never cut, those on promotion."""
+        return self.items().where("kind = 'PROMO'").select("item")
 
-def _q(f: Callable[[Derived], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+
+def _q(f: Callable[[Derived], DataFrame], kept: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(Derived(spark, sf_dir))
+        out = f(Derived(spark, sf_dir, kept))
         return out.withColumn("rank", F.col("rank").cast("long")) if "rank" in out.columns else out
 
     return run
 
 
 def _additions(t: Derived) -> DataFrame:
-    return hybrid.additions(t.hybrids(), t.rates(), t.gaps(), t.vectors(), t.decks())
+    return hybrid.additions(t.hybrids(), t.rates(), t.gaps(), t.vectors(), t.decks(), t.item_colours(), t.leader_colours())
 
 
 def _cuts(t: Derived) -> DataFrame:
-    return hybrid.cuts(t.hybrids(), t.gaps(), t.vectors(), t.decks())
+    return hybrid.cuts(t.hybrids(), t.gaps(), t.vectors(), t.decks(), t.rates(), t.protected())
 
 
 def _features(t: Derived) -> DataFrame:
-    return ml.features(t.profile(), t.frequency(), t.items(), t.hybrids())
+    return ml.features(t.profile(), t.frequency(), t.items(), t.hybrids(), t.item_colours(), t.leader_colours())
+
+
+FEATURES = ["cosine", "tfidf_norm", "idf", "cost", "frequency", "compatible"]
+
+
+def _trained(t: Derived):
+    rows = stored(_features(t), "features")
+    return ml.rate_model(rows, ml.held_out(rows, "leader"), FEATURES)
 
 
 def _model(t: Derived) -> DataFrame:
-    rows = _features(t).persist()
-    _, guess = ml.rate_model(rows, ml.held_out(rows, "leader"), ["cosine", "tfidf_norm", "idf", "cost", "frequency"])
-    return ml.errors(guess, "label", "prediction")
+    return ml.errors(_trained(t)[1], "label", "prediction")
 
 
 def _upsert(t: Derived) -> DataFrame:
@@ -127,18 +152,18 @@ QUERIES = {
     "q36_bayes_prediction": _q(lambda t: tags.bayes_prediction(t.tags(), tags.tagged(t.tags(), t.vectors()))),
     "q37_leader_prediction": _q(lambda t: tags.leader_prediction(tags.additive_prediction(t.tags(), t.given()), t.weights())),
     "q38_accuracy": _q(lambda t: tags.accuracy(tags.additive_prediction(t.tags(), t.given()), t.vectors())),
-    "q39_hybrid": _q(lambda t: t.hybrids()),
-    "q42_deck_profile": _q(lambda t: hybrid.deck_profile(t.decks(), t.vectors(), t.leader_vectors())),
-    "q43_gaps": _q(lambda t: t.gaps()),
-    "q44_deck_additions": _q(_additions),
-    "q45_deck_cuts": _q(_cuts),
-    "q46_replacements": _q(lambda t: hybrid.replacements(_cuts(t), _additions(t))),
-    "q47_global_score": _q(lambda t: hybrid.global_score(hybrid.deck_profile(t.decks(), t.vectors(), t.leader_vectors()), t.gaps())),
-    "q26_features": _q(_features),
+    "q39_hybrid": _q(lambda t: t.hybrids().select("leader", "item", "cosine", "hybrid"), True),
+    "q42_deck_profile": _q(lambda t: hybrid.deck_profile(t.decks(), t.vectors(), t.leader_vectors()), True),
+    "q43_gaps": _q(lambda t: t.gaps(), True),
+    "q44_deck_additions": _q(_additions, True),
+    "q45_deck_cuts": _q(lambda t: _cuts(t).withColumn("reasons", F.array_join("reasons", "|")), True),
+    "q46_replacements": _q(lambda t: hybrid.replacements(_cuts(t), _additions(t)), True),
+    "q47_global_score": _q(lambda t: hybrid.global_score(hybrid.deck_profile(t.decks(), t.vectors(), t.leader_vectors()), t.gaps()), True),
+    "q26_features": _q(_features, True),
     "q27_held_out": _q(lambda t: ml.held_out(t.baskets(), "leader")),
-    "q28_rate_model": _q(_model),
+    "q28_rate_model": _q(_model, True),
     "q30_ranking_metrics": _q(lambda t: ml.ranking_metrics(t.profile(), "rate", "tfidf")),
-    "q31_clusters": _q(lambda t: ml.clustered(t.vectors(), (8, 10, 12))),
+    "q31_clusters": _q(lambda t: ml.clustered(t.vectors())),
     "m1_upsert": _q(_upsert),
     "m2_insert_if_absent": _q(_absent),
     "m3_deck_moves": _q(lambda t: catalogue.moved(t.decks(), t.decks().select("leader", "item", F.when(F.col("item") % 2 == 0, -F.col("qty")).otherwise(F.lit(1)).alias("delta")))),
@@ -195,9 +220,9 @@ SQL = {
         "q07_transfers": "SELECT row_number() OVER (ORDER BY gain DESC, item) AS rank, item, from_leader, to_leader, from_rate, to_rate, gain FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY gain DESC, from_leader, to_leader) AS r FROM (SELECT d.item, d.leader AS from_leader, b.leader AS to_leader, a.rate AS from_rate, b.rate AS to_rate, round(b.rate - a.rate, 4) AS gain FROM decks d JOIN rates a ON d.leader = a.leader AND d.item = a.item JOIN rates b ON d.item = b.item AND b.leader <> d.leader AND b.rate > a.rate WHERE (b.leader, b.item) NOT IN (SELECT leader, item FROM decks))) WHERE r = 1 ORDER BY rank LIMIT 30",
         "q08_cuts": "SELECT d.leader, row_number() OVER (PARTITION BY d.leader ORDER BY coalesce(rate, 0), d.item) AS rank, d.item, coalesce(rate, 0) AS rate, coalesce(n, 0) AS n, t.total FROM decks d JOIN part ON d.item = p_partkey AND p_type <> 'ECONOMY' JOIN totals t ON d.leader = t.leader LEFT JOIN rates r ON d.leader = r.leader AND d.item = r.item",
         "q09_composition": "SELECT leader, kind, coalesce(own, 0)::BIGINT AS own, coalesce(corpus_mean, 0) AS corpus_mean FROM (SELECT leader, p_type AS kind, round(sum(qty)::DOUBLE / any_value(total), 4) AS corpus_mean FROM lines JOIN part ON item = p_partkey JOIN totals USING (leader) GROUP BY 1, 2) FULL JOIN (SELECT leader, p_type AS kind, sum(qty) AS own FROM decks JOIN part ON item = p_partkey GROUP BY 1, 2) USING (leader, kind)",
-        "q09_mean_cost": "SELECT leader, round(sum(p_size * qty)::DOUBLE / sum(qty), 4) AS mean_cost FROM decks JOIN part ON item = p_partkey WHERE p_type <> 'ECONOMY' GROUP BY leader",
+        "q09_mean_cost": "SELECT leader, round(CAST(sum(p_size * qty)::DOUBLE / sum(qty) AS DECIMAL(20,8)), 2)::DOUBLE AS mean_cost FROM decks JOIN part ON item = p_partkey WHERE p_type <> 'ECONOMY' GROUP BY leader",
         "q10_leader_suggestions": "SELECT * FROM (SELECT item, leader, rate, row_number() OVER (PARTITION BY item ORDER BY rate DESC, leader) AS rank FROM rates WHERE (leader, item) NOT IN (SELECT leader, item FROM decks)) WHERE rank <= 3",
-        "q11_leader_detection": "SELECT basket_id, leader, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, matched DESC, leader) AS r FROM (SELECT b.basket_id, r.leader, round(avg(rate), 10) AS score, count(*) AS matched FROM bi b JOIN rates r ON b.item = r.item GROUP BY 1, 2)) WHERE r = 1",
+        "q11_leader_detection": "SELECT basket_id, leader, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, matched DESC, leader) AS r FROM (SELECT b.basket_id, r.leader, round(CAST(CAST(sum(CAST(rate AS DECIMAL(12,4))) AS DOUBLE) / count(*) AS DECIMAL(20,8)), 2)::DOUBLE AS score, count(*) AS matched FROM bi b JOIN rates r ON b.item = r.item GROUP BY 1, 2)) WHERE r = 1",
         "q12_best_leaders": _BEST.format("(SELECT item, 'list' AS source FROM collection)"),
         "q12_not_found": "SELECT item FROM collection WHERE item NOT IN (SELECT item FROM rates)",
         "q14_search": "SELECT i.item, i.name, i.cost, best, best_price, first, cheapest, n FROM (SELECT p_partkey AS item, p_name AS name, p_size AS cost FROM part WHERE p_name ILIKE '%RED%' ORDER BY cost NULLS LAST, name, item LIMIT 100) i LEFT JOIN (SELECT item, first(printing ORDER BY price DESC NULLS LAST, printing) AS best, max(price) AS best_price, min(printing) AS first, min(CASE WHEN price > 0 THEN price END) AS cheapest, count(*) AS n FROM printings GROUP BY item) p ON i.item = p.item",
@@ -232,26 +257,29 @@ lv AS (SELECT leader, list(x ORDER BY i) AS lvec FROM unit GROUP BY leader),
 pairs AS (SELECT leader, item FROM profile UNION SELECT leader, item FROM decks),
 ts AS (SELECT leader, item, least(sum(p * weight) / any_value(nt), 1) AS tag_score FROM pairs JOIN tags USING (item) JOIN given USING (tag) JOIN weights USING (leader, cluster) JOIN (SELECT item, count(*) AS nt FROM tags GROUP BY item) USING (item) GROUP BY leader, item),
 hy0 AS (SELECT p.leader, p.item, coalesce(list_cosine_similarity(v.vec, lv.lvec), 0) AS c, coalesce(f.tfidf_norm, 0) AS t, coalesce(w.weight, 0) AS w, coalesce(ts.tag_score, 0) AS g FROM pairs p LEFT JOIN profile f ON p.leader = f.leader AND p.item = f.item LEFT JOIN vectors v ON p.item = v.item LEFT JOIN lv ON p.leader = lv.leader LEFT JOIN weights w ON p.leader = w.leader AND v.cluster = w.cluster LEFT JOIN ts ON p.leader = ts.leader AND p.item = ts.item),
-hy AS (SELECT leader, item, round(c, 6) + 0::DOUBLE AS cosine, round(least(0.40::DOUBLE * t + 0.25::DOUBLE * c + 0.20::DOUBLE * w + 0.15::DOUBLE * g, 1), 4) + 0::DOUBLE AS hybrid FROM hy0) """
+hy AS (SELECT leader, item, round(c, 6) + 0::DOUBLE AS cosine, round(least(0.40::DOUBLE * t + 0.25::DOUBLE * c + 0.20::DOUBLE * w + 0.15::DOUBLE * g, 1), 4) + 0::DOUBLE AS hybrid, t AS tfidf_norm, w AS weight, round(g, 6) AS tag_score FROM hy0) """
 
-SQL["q39_hybrid"] = _sql("").rstrip() + _SCORED + "SELECT * FROM hy"
-SQL["q26_features"] = _sql("").rstrip() + _SCORED + "SELECT f.leader, f.item, cosine, tfidf_norm, f.idf, coalesce(p_size, 0)::DOUBLE AS cost, coalesce(q.frequency, 0) AS frequency, round(ln(1 + rate), 6) AS label FROM profile f JOIN hy ON f.leader = hy.leader AND f.item = hy.item LEFT JOIN frequency q ON f.item = q.item LEFT JOIN part ON f.item = p_partkey"
+SQL["q39_hybrid"] = _sql("").rstrip() + _SCORED + "SELECT leader, item, cosine, hybrid FROM hy"
+SQL["q26_features"] = _sql("").rstrip() + _SCORED + "SELECT f.leader, f.item, cosine, f.tfidf_norm, f.idf, coalesce(p_size, 0)::DOUBLE AS cost, coalesce(q.frequency, 0) AS frequency, ((p_size % 32) & ~((f.leader * 7 + 3) % 32) = 0)::INTEGER::DOUBLE AS compatible, round(ln(1 + rate), 6) AS label FROM profile f JOIN hy ON f.leader = hy.leader AND f.item = hy.item LEFT JOIN frequency q ON f.item = q.item LEFT JOIN part ON f.item = p_partkey"
 
 _DECKS = (
     _sql("").rstrip()
     + _SCORED.rstrip()
     + """, gaps AS (SELECT leader, cluster, coalesce(own, 0) AS own, coalesce(weight, 0) AS meta, round(coalesce(own, 0) - coalesce(weight, 0), 6) AS delta FROM (SELECT leader, cluster, round(count(*)::DOUBLE / any_value(n), 6) AS own FROM decks JOIN vectors USING (item) JOIN (SELECT leader, count(*) AS n FROM decks GROUP BY leader) USING (leader) GROUP BY 1, 2) FULL JOIN weights USING (leader, cluster)),
-under AS (SELECT leader, cluster, abs(delta) / max(abs(delta)) OVER (PARTITION BY leader) AS bonus FROM gaps WHERE delta < -0.02),
-adds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY score DESC, item) AS rank FROM (SELECT h.leader, h.item, round(0.40::DOUBLE * hybrid + 0.30::DOUBLE * least(rate / 100, 1) + 0.20::DOUBLE * coalesce(bonus, 0) + 0.10::DOUBLE * greatest(cosine, 0), 6) AS score FROM hy h JOIN rates r ON h.leader = r.leader AND h.item = r.item LEFT JOIN vectors v ON h.item = v.item LEFT JOIN under u ON h.leader = u.leader AND v.cluster = u.cluster WHERE (h.leader, h.item) NOT IN (SELECT leader, item FROM decks))) WHERE rank <= 30),
-outs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY score DESC, item) AS rank FROM (SELECT h.leader, h.item, round(0.40::DOUBLE * (1 - hybrid) + 0.35::DOUBLE * (1 - least(5 * coalesce(meta, 0), 1)) + 0.25::DOUBLE * (1 - greatest(cosine, 0)), 6) AS score FROM hy h JOIN decks d ON h.leader = d.leader AND h.item = d.item LEFT JOIN vectors v ON h.item = v.item LEFT JOIN gaps g ON h.leader = g.leader AND v.cluster = g.cluster)) WHERE rank <= 30),
 u1 AS (SELECT leader, item, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM decks JOIN vectors USING (item)),
 u2 AS (SELECT leader, list(x ORDER BY i) AS mean FROM (SELECT leader, i, avg(x) AS x FROM (SELECT leader, unnest(vec) AS x, unnest(range(len(vec))) AS i FROM u1) GROUP BY 1, 2) GROUP BY leader),
+dc AS (SELECT h.leader, h.item, greatest(round(list_cosine_similarity(v.vec, u2.mean), 6), 0) AS s FROM hy h JOIN vectors v ON h.item = v.item JOIN u2 ON h.leader = u2.leader),
+under AS (SELECT leader, cluster, round(abs(delta) / max(abs(delta)) OVER (PARTITION BY leader), 6) AS bonus FROM gaps WHERE delta < -0.02),
+adds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY score DESC, item) AS rank FROM (SELECT h.leader, h.item, coalesce(bonus, 0) AS bonus, coalesce(dc.s, 0) AS synergy, round(0.40 * CAST(hybrid AS DECIMAL(18,4)) + 0.30 * least(0.01 * CAST(rate AS DECIMAL(18,4)), 1) + 0.20 * CAST(coalesce(bonus, 0) AS DECIMAL(18,6)) + 0.10 * CAST(coalesce(dc.s, 0) AS DECIMAL(18,6)), 4)::DOUBLE AS score FROM hy h JOIN rates r ON h.leader = r.leader AND h.item = r.item JOIN part p ON h.item = p_partkey LEFT JOIN vectors v ON h.item = v.item LEFT JOIN under u ON h.leader = u.leader AND v.cluster = u.cluster LEFT JOIN dc ON h.leader = dc.leader AND h.item = dc.item WHERE (h.leader, h.item) NOT IN (SELECT leader, item FROM decks) AND ((h.leader * 7 + 3) % 32 = 0 OR (p_size % 32) & ~((h.leader * 7 + 3) % 32) = 0))) WHERE rank <= 30),
+outs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY score DESC, item) AS rank FROM (SELECT h.leader, h.item, round(0.40 * (1 - CAST(hybrid AS DECIMAL(18,4))) + 0.35 * (1 - least(5 * CAST(coalesce(meta, 0) AS DECIMAL(18,6)), 1)) + 0.25 * (1 - CAST(coalesce(dc.s, 0) AS DECIMAL(18,6))), 4)::DOUBLE AS score,
+list_filter([CASE WHEN coalesce(rate, 0) = 0 THEN 'not played with this leader' WHEN rate < 5 THEN 'seldom played with this leader' END, CASE WHEN hybrid < 0.08 THEN 'low hybrid score' END, CASE WHEN coalesce(dc.s, 0) < 0.3 THEN 'little synergy with the deck' END, CASE WHEN v.cluster IS NOT NULL AND coalesce(meta, 0) < 0.01 THEN 'cluster absent from the profile' END], lambda x: x IS NOT NULL) AS why
+FROM hy h JOIN decks d ON h.leader = d.leader AND h.item = d.item JOIN part p ON h.item = p_partkey LEFT JOIN rates r ON h.leader = r.leader AND h.item = r.item LEFT JOIN vectors v ON h.item = v.item LEFT JOIN gaps g ON h.leader = g.leader AND v.cluster = g.cluster LEFT JOIN dc ON h.leader = dc.leader AND h.item = dc.item WHERE p_type <> 'PROMO')) WHERE rank <= 30),
 prof AS (SELECT leader, round(avg(list_cosine_similarity(vec, mean)), 6) AS coherence, round(coalesce(avg(list_cosine_similarity(vec, lvec)), 0), 6) AS similarity FROM u1 JOIN u2 USING (leader) LEFT JOIN lv USING (leader) GROUP BY leader) """
 )
 SQL["q42_deck_profile"] = _DECKS + "SELECT * FROM prof"
 SQL["q44_deck_additions"] = _DECKS + "SELECT * FROM adds"
-SQL["q45_deck_cuts"] = _DECKS + "SELECT * FROM outs"
-SQL["q46_replacements"] = _DECKS + "SELECT o.leader, o.rank, o.item AS cut, a.item AS added, round((a.score - (1 - o.score)) * 100, 4) AS gain FROM outs o JOIN adds a ON o.leader = a.leader AND o.rank = a.rank"
+SQL["q45_deck_cuts"] = _DECKS + "SELECT leader, rank, item, score, CASE WHEN len(why) = 0 THEN 'less suited on the whole' ELSE array_to_string(why, '|') END AS reasons FROM outs"
+SQL["q46_replacements"] = _DECKS + "SELECT o.leader, o.rank, o.item AS cut, a.item AS added, round((CAST(a.score AS DECIMAL(18,4)) - (1 - CAST(o.score AS DECIMAL(18,4)))) * 100, 1)::DOUBLE AS gain, CASE WHEN len(why) = 0 THEN 'less suited on the whole' ELSE array_to_string(why[1:2], ' | ') END AS reasons FROM outs o JOIN adds a ON o.leader = a.leader AND o.rank = a.rank"
 SQL["q47_global_score"] = _DECKS + "SELECT leader, round(d, 6) AS distance, round(0.40::DOUBLE * coherence + 0.35::DOUBLE * similarity + 0.25::DOUBLE * greatest(0, 1 - d), 4) AS score FROM prof JOIN (SELECT leader, sqrt(sum(delta * delta)) AS d FROM gaps GROUP BY leader) USING (leader)"
 SQL["q36_bayes_prediction"] = _sql(
     """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY p DESC, cluster) AS rank FROM (SELECT item, cluster, round(exp(l - max(l) OVER (PARTITION BY item)) / sum(exp(l - m)) OVER (PARTITION BY item), 6) AS p FROM (SELECT *, max(l) OVER (PARTITION BY item) AS m FROM (

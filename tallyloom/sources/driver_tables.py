@@ -64,3 +64,14 @@ class Tables:
     def vectors(self) -> DataFrame:
         """(item, vec array<double>, cluster)."""
         return self.read("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"))
+
+    def nations(self) -> DataFrame:
+        """(leader, name, region)."""
+        return self.read("nation").select(F.col("n_nationkey").alias("leader"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+
+    def item_colours(self) -> DataFrame:
+        """(item, colours): the bits of the cost, of five."""
+        return self.items().select("item", F.expr("filter(sequence(0, 4), b -> shiftright(cost, b) % 2 = 1)").alias("colours"))
+
+    def leader_colours(self) -> DataFrame:
+        return self.nations().select("leader", F.expr("filter(sequence(0, 4), b -> shiftright((leader * 7 + 3) % 32, b) % 2 = 1)").alias("colours"))

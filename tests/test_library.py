@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import names
 from tallyloom.operators import catalogue, ml, popularity, stats, vectors
-from tallyloom.plans.queries import QUERIES, SQL
+from tallyloom.plans import QUERIES, SQL
 from tallyloom.sources import lists
 
 SF = "/root/testdata/sf0.001"
