@@ -51,7 +51,7 @@ def test_votes():
     assert (f.simhash(pa.array([None, "x y z"]), 1)[1] == got[1]).all()
 
 
-@pytest.mark.parametrize("blocks,radius", [(4, 3), (8, 3), (4, 1)])
+@pytest.mark.parametrize("blocks,radius", [(4, 7), (5, 9), (8, 3), (3, 5)])
 def test_tables_find_all_within_the_radius(spark, blocks, radius):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, (12, 2), dtype=np.int64)
@@ -59,7 +59,7 @@ def test_tables_find_all_within_the_radius(spark, blocks, radius):
     for _ in range(12):
         flips = np.zeros_like(base)
         for i in range(len(base)):
-            for b in r.choice(128, r.integers(0, 6), replace=False):
+            for b in r.choice(128, r.integers(0, 12), replace=False):
                 flips[i, b // 64] ^= np.int64(np.uint64(1) << np.uint64(b % 64)) if b % 64 < 63 else np.int64(-(2**63))
         rows.append(base ^ flips)
     every = np.concatenate(rows)
@@ -68,3 +68,18 @@ def test_tables_find_all_within_the_radius(spark, blocks, radius):
     u = every.view(np.uint64)
     for x in every:
         assert got[tuple(map(int, x))] == int((np.bitwise_count(u ^ x.view(np.uint64)).sum(1) <= radius).sum())
+
+
+def test_texts_with_few_changes_are_found(spark):
+    """One word of 150 changed: most copies are within the radius; other texts are not."""
+    r = np.random.default_rng(1)
+    texts = []
+    for i in range(60):
+        w = prose(150, 800 + i).split()
+        texts.append(" ".join(w))
+        w[int(r.integers(10, 140))] = "altered"
+        texts.append(" ".join(w))
+    fp = f.simhash(pa.array(texts))
+    far = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(1)
+    assert (far <= f.RADIUS).mean() >= 0.6
+    assert np.bitwise_count(fp[:-2:2] ^ fp[2::2]).sum(1).min() > f.RADIUS
