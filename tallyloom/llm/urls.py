@@ -63,19 +63,27 @@ def blocked_bloom(urls: DataFrame, column: str = "url") -> tuple[DataFrame, int]
     return urls.select(block.alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)]), blocks
 
 
-def in_list(rows: DataFrame, listed: DataFrame, column: str = "canonical") -> DataFrame:
-    """The distinct non-null values of rows[column] that are in listed[column], exactly.
+def may_be_in(rows: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of the column passes the filter of listed[column], and a few others; nulls never do.
 
-    The filter is broadcast, within the size it proves, and drops nearly all other values before
-    the shuffle of the exact join.
+    The filter is broadcast, within the size it proves.
     """
     bloom, blocks = blocked_bloom(listed, column)
     block, words = _probe(F.col(column), blocks)
-    asked = rows.select(column).where(F.col(column).isNotNull()).withColumns({"b": block, **{f"p{i}": w for i, w in enumerate(words)}})
-    hit = asked.join(F.broadcast(bloom), F.col("b") == F.col("block"))
+    asked = rows.where(F.col(column).isNotNull()).withColumns({"__b": block, **{f"__p{i}": w for i, w in enumerate(words)}})
+    bloom = bloom.select(F.col("block").alias("__b"), *[F.col(f"w{i}").alias(f"__w{i}") for i in range(4)])
+    hit = asked.join(F.broadcast(bloom), "__b")
     for i in range(4):
-        hit = hit.where(F.col(f"w{i}").bitwiseAND(F.col(f"p{i}")) == F.col(f"p{i}"))
-    return hit.select(column).distinct().join(listed.hint("shuffle_hash"), column, "left_semi")
+        hit = hit.where(F.col(f"__w{i}").bitwiseAND(F.col(f"__p{i}")) == F.col(f"__p{i}"))
+    return hit.select(rows.columns)
+
+
+def in_list(rows: DataFrame, listed: DataFrame, column: str = "canonical") -> DataFrame:
+    """The distinct non-null values of rows[column] that are in listed[column], exactly.
+
+    The filter drops nearly all other values before the shuffle of the exact join.
+    """
+    return may_be_in(rows.select(column), listed, column).distinct().join(listed, column, "left_semi")
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -87,9 +95,10 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(F.col("host"), F.col("path")))
-    hits = in_list(rows, listed).withColumn("listed", F.lit(True))
+    hits = stored(in_list(rows, listed), "listed-hits").withColumn("listed", F.lit(True))
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return rows.join(hits, "canonical", "left").select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    with_url = rows.where("canonical IS NOT NULL").join(hits, "canonical", "left")  # rows without are no key of the join
+    return with_url.unionByName(rows.where("canonical IS NULL").withColumn("listed", F.lit(None).cast("boolean")), allowMissingColumns=True).select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 def listed_urls(pages: DataFrame, words: list[str] = LISTED_WORDS) -> DataFrame:
