@@ -2,40 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..storage import discard, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only for local masters that name none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallyloom-')}")
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: lineage is cut, and executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "partitions", "shared_dir", "stored"]
 
 
 def partitions(spark: SparkSession) -> int:
