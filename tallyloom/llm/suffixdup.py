@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,11 @@ from .textblocks import M1, block_of, hash_spans, mix, ragged, slices
 LENGTH = 400
 GRAM = 32
 #: Distinct segments of a gram that one shard takes, and bytes of segments that it sorts at a time.
-HOT, SHARD_BYTES = 2048, 2 << 20
+HOT, SHARD_BYTES = 2048, 64 << 20
+#: Bytes of a shard, or of an array of its sort, beyond which they lie on disk.
+IN_MEMORY = 16 << 20
+#: Bytes of text cut into segments at a time: what fits in a processor's cache.
+CACHED = 1 << 18
 #: Places around an anchor at which two segments may agree.
 PLACES = 4
 
@@ -80,18 +85,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _segment_rows(texts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=CACHED):
             data, offsets = block_of(b.column("text"))
             s = segments(data, offsets, length)
             begin, end = offsets[s["doc"]] + s["first"], offsets[s["doc"]] + s["last"] + length
-            hashes = [hash_spans(data, begin, end, seed) for seed in (1, 2)]
             doc = pa.array(s["doc"])
             yield pa.record_batch(
-                [b.column("t1").take(doc), b.column("t2").take(doc), *(pa.array(x.astype(np.int32)) for x in (s["first"], s["last"], s["anchor"])), *(pa.array(x.view(np.int64)) for x in (s["gram"], *hashes))],
-                ["t1", "t2", "first", "last", "anchor", "gram", "h1", "h2"],
+                [b.column("t1").take(doc), b.column("t2").take(doc), *(pa.array(x.astype(np.int32)) for x in (s["first"], s["last"], s["anchor"])), *(pa.array(x.view(np.int64)) for x in (s["gram"], hash_spans(data, begin, end, 1)))],
+                ["t1", "t2", "first", "last", "anchor", "gram", "h1"],
             )
 
-    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, first int, last int, anchor int, gram long, h1 long, h2 long")
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, first int, last int, anchor int, gram long, h1 long")
 
 
 def _agreements(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +111,8 @@ def _agreements(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, lengt
 
 
 def _cut_out(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(gram, h1, h2, n, keys, bytes) of the wanted segments (with t1, t2, first, last, anchor); keys: their agreements."""
-    per_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "h1", "h2", "n", "first", "last", "anchor")).alias("s"))
+    """(gram, h1, n, keys, bytes) of the wanted segments (with t1, t2, first, last, anchor); keys: their agreements."""
+    per_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("gram", "h1", "n", "first", "last", "anchor")).alias("s"))
     both = per_text.join(texts, ["t1", "t2"]).select("s", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,9 +130,9 @@ def _cut_out(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             by = np.argsort(who, kind="stable")
             keys = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(who, minlength=len(first)))].astype(np.int32)), pa.array(key[by].view(np.int64)))
             raw = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(parts[:-8])])
-            yield pa.record_batch([*(s.field(k) for k in ("gram", "h1", "h2", "n")), keys, raw], ["gram", "h1", "h2", "n", "keys", "bytes"])
+            yield pa.record_batch([*(s.field(k) for k in ("gram", "h1", "n")), keys, raw], ["gram", "h1", "n", "keys", "bytes"])
 
-    return both.mapInArrow(run, "gram long, h1 long, h2 long, n long, keys array<long>, bytes binary")
+    return both.mapInArrow(run, "gram long, h1 long, n long, keys array<long>, bytes binary")
 
 
 def _runs(hit: np.ndarray) -> np.ndarray:
@@ -137,44 +141,64 @@ def _runs(hit: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], 1).astype("<i4")
 
 
+class Shard:
+    """The segments of a shard: their bytes in a file if they are many, their keys in memory."""
+
+    def __init__(self):
+        self.file = tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
+        self.keys: list[pa.RecordBatch] = []
+        self.sizes: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        data, offsets = block_of(b.column("bytes"))
+        self.file.write(memoryview(data)[: offsets[-1]])
+        self.keys.append(b.select(["gram", "h1", "n"]))
+        self.sizes.append(np.diff(offsets))
+        self.bytes += int(offsets[-1])
+
+    def solved(self, length: int) -> Iterator[pa.RecordBatch]:
+        """(gram, h1, runs) of its segments with repeated strings."""
+        offsets = np.r_[0, np.cumsum(np.concatenate(self.sizes))].astype(np.int64)
+        self.file.flush()
+        self.file.seek(0)
+        if self.bytes > IN_MEMORY:
+            data = np.memmap(self.file, np.uint8, "r", shape=(self.bytes,))
+        else:
+            data = np.frombuffer(self.file.read(), np.uint8)
+        hit, at = repeated_starts(data, offsets, length, IN_MEMORY), 0
+        for b in self.keys:
+            many, found = b.column("n").to_numpy() > 1, []
+            for i, m in enumerate(many.tolist(), at):
+                found.append(_runs(hit[offsets[i] : offsets[i + 1] - length + 1] | m))
+            at += b.num_rows
+            use = pa.array([i for i, x in enumerate(found) if len(x)], pa.int64())
+            yield pa.record_batch([*(b.column(k).take(use) for k in ("gram", "h1")), pa.array([x.tobytes() for x in found if len(x)], pa.binary())], ["gram", "h1", "runs"])
+        self.file.close()
+
+
 def _sorted_shards(cut: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(gram, h1, h2, runs): the starts in each segment whose strings repeat, by the suffix order of shards."""
-    out = ["gram", "h1", "h2"]
-
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        data, offsets = block_of(t.column("bytes"))
-        hit = repeated_starts(data[:-8], offsets, length)
-        many = t.column("n").to_numpy() > 1
-        found = [_runs(hit[a : z - length + 1] | m) for a, z, m in zip(offsets[:-1].tolist(), offsets[1:].tolist(), many.tolist())]
-        use = pa.array([i for i, x in enumerate(found) if len(x)], pa.int64())
-        return pa.record_batch([*(t.column(k).take(use) for k in out), pa.array([x.tobytes() for x in found if len(x)], pa.binary())], [*out, "runs"])
+    """(gram, h1, runs): the starts in each segment whose strings repeat, by the suffix order of shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, last = Shard(), None
         for b in slices(batches, "bytes", 1 << 20):
             gram = b.column("gram").to_numpy()
-            if held and size > shard_bytes:  # ends where the gram changes
-                at = 0 if gram[0] != held[-1].column("gram")[-1].as_py() else int(np.argmax(gram != gram[0])) if (gram != gram[0]).any() else len(gram)
+            if held.bytes > shard_bytes:  # ends where the gram changes
+                at = 0 if gram[0] != last else int(np.argmax(gram != gram[0])) if (gram != gram[0]).any() else len(gram)
                 if at:
-                    held.append(b.slice(0, at))
-                if at < len(gram):
-                    yield solve(held)
-                    held, size, b = [], 0, b.slice(at)
-                else:
+                    held.add(b.slice(0, at))
+                if at == len(gram):
                     continue
-            held.append(b)
-            size += int(offsets_total(b))
-        if held:
-            yield solve(held)
-
-    dealt = cut.select(*out, "n", "bytes").repartition(partitions(cut.sparkSession), "gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "gram long, h1 long, h2 long, runs binary")
-
+                yield from held.solved(length)
+                held, b = Shard(), b.slice(at)
+            held.add(b)
+            last = gram[-1]
+        if held.bytes:
+            yield from held.solved(length)
 
-def offsets_total(batch: pa.RecordBatch) -> int:
-    _, offsets = block_of(batch.column("bytes"))
-    return int(offsets[-1])
+    dealt = cut.select("gram", "h1", "n", "bytes").repartition(partitions(cut.sparkSession), "gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "gram long, h1 long, runs binary")
 
 
 def _hashed_strings(cut: DataFrame, length: int) -> DataFrame:
@@ -187,11 +211,11 @@ def _hashed_strings(cut: DataFrame, length: int) -> DataFrame:
             at = offsets[row] + i
             w = [hash_spans(data, at, at + length, seed).view(np.int64) for seed in (3, 4)]
             row = pa.array(row)
-            yield pa.record_batch([*(b.column(k).take(row) for k in ("gram", "h1", "h2", "n")), pa.array(i.astype(np.int32)), *map(pa.array, w)], ["gram", "h1", "h2", "n", "at", "w1", "w2"])
+            yield pa.record_batch([*(b.column(k).take(row) for k in ("gram", "h1", "n")), pa.array(i.astype(np.int32)), *map(pa.array, w)], ["gram", "h1", "n", "at", "w1", "w2"])
 
-    each = cut.select("gram", "h1", "h2", "n", "bytes").mapInArrow(run, "gram long, h1 long, h2 long, n long, at int, w1 long, w2 long")
+    each = cut.select("gram", "h1", "n", "bytes").mapInArrow(run, "gram long, h1 long, n long, at int, w1 long, w2 long")
     again = each.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1")
-    found = each.join(again, ["w1", "w2"], "left_semi").groupBy("gram", "h1", "h2").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    found = each.join(again, ["w1", "w2"], "left_semi").groupBy("gram", "h1").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,9 +225,9 @@ def _hashed_strings(cut: DataFrame, length: int) -> DataFrame:
                 hit = np.zeros(int(v[-1]) + 1, bool)
                 hit[v] = True
                 runs.append(_runs(hit).tobytes())
-            yield pa.record_batch([*(b.column(k) for k in ("gram", "h1", "h2")), pa.array(runs, pa.binary())], ["gram", "h1", "h2", "runs"])
+            yield pa.record_batch([*(b.column(k) for k in ("gram", "h1")), pa.array(runs, pa.binary())], ["gram", "h1", "runs"])
 
-    return found.mapInArrow(join_up, "gram long, h1 long, h2 long, runs binary")
+    return found.mapInArrow(join_up, "gram long, h1 long, runs binary")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -212,19 +236,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard_bytes:
     rows = stored(_segment_rows(keyed, length), "segments")
     again = stored(rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "grams-found-again")  # stored, so that the join can be split at a hot gram
     found = stored(rows.join(again, "gram", "left_semi"), "repeated-grams")
-    wanted = found.groupBy("gram", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("gram", "h1", "h2", "n", "one.*")
+    wanted = found.groupBy("gram", "h1").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "last", "anchor")).alias("one")).select("gram", "h1", "n", "one.*")
     texts = keyed.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
     cut = stored(_cut_out(wanted, texts, length), "segment-bytes")
     discard(rows)
-    each = cut.select("gram", "h1", "h2", "n", F.explode("keys").alias("key"))
+    each = cut.select("gram", "h1", "n", F.explode("keys").alias("key"))
     agreed = stored(each.groupBy("gram", "key").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "key"), "agreements")
-    alike = each.join(agreed, ["gram", "key"], "left_semi").select("gram", "h1", "h2").distinct()
+    alike = each.join(agreed, ["gram", "key"], "left_semi").select("gram", "h1").distinct()
     per_gram = alike.groupBy("gram").agg(F.count("*").alias("n_distinct"))
-    chosen = cut.drop("keys").join(alike.join(per_gram, "gram"), ["gram", "h1", "h2"])
+    chosen = cut.drop("keys").join(alike.join(per_gram, "gram"), ["gram", "h1"])
     chosen = stored(chosen, "alike")
     runs = _sorted_shards(chosen.where(F.col("n_distinct") <= hot), length, shard_bytes).unionByName(_hashed_strings(chosen.where(F.col("n_distinct") > hot), length))
     runs = stored(runs, "repeated-starts")
-    starts = found.select("gram", "h1", "h2", "t1", "t2", "first").distinct().join(runs, ["gram", "h1", "h2"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "runs")).alias("starts"))
+    starts = found.select("gram", "h1", "t1", "t2", "first").distinct().join(runs, ["gram", "h1"]).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "runs")).alias("starts"))
     starts = stored(starts, "starts")
     discard(found, cut, chosen, runs, again, agreed)
     return starts

@@ -23,13 +23,14 @@ def naive(text):
 def prefix_of(text, cap):
     t = text.tolist()
 
-    def prefix(i, j):
+    def prefix(i, j, known):
         out = []
         for a, b in zip(i.tolist(), j.tolist()):
             x = 0
             while x < cap and t[a + x : a + x + 1] == t[b + x : b + x + 1]:
                 x += 1
             out.append(x)
+        assert (known <= np.array(out, np.int64)).all()
         return np.array(out, np.int64)
 
     return prefix
@@ -73,3 +74,63 @@ def test_repeated_starts(texts, length):
         if len(at) > 1:
             want[at] = True
     assert (induced.repeated_starts(data, offsets, length) == want).all()
+
+
+def plain_starts(data, offsets, length):
+    seen, raw, want = {}, data.tobytes(), np.zeros(len(data), bool)
+    starts = [s for a, z in zip(offsets[:-1], offsets[1:]) for s in range(a, z - length + 1)]
+    for s in starts:
+        seen[raw[s : s + length]] = seen.get(raw[s : s + length], 0) + 1
+    for s in starts:
+        want[s] = seen[raw[s : s + length]] > 1
+    return want
+
+
+@pytest.mark.parametrize("stretch", [97, 1000])
+@pytest.mark.parametrize("in_memory", [0, 1 << 24])
+def test_stretches_and_files(monkeypatch, stretch, in_memory):
+    monkeypatch.setattr(induced, "STRETCH", stretch)
+    r = np.random.default_rng(stretch)
+    base = r.integers(97, 101, 400).astype(np.uint8)
+    texts = [np.concatenate([r.integers(97, 105, r.integers(0, 300)).astype(np.uint8), base[: r.integers(50, 400)]]) for _ in range(20)] + [np.full(200, 97, np.uint8)] * 2
+    data, offsets = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+    assert (np.asarray(induced.repeated_starts(data, offsets, 40, in_memory)) == plain_starts(data, offsets, 40)).all()
+
+
+def test_a_shard_larger_than_its_memory():
+    """48 MB of text with under 700 MB of memory of its own: its arrays, over 1000 MB, lie in files."""
+    code = """
+import threading, time
+import numpy as np
+from tallyloom.llm import induced
+r = np.random.default_rng(3)
+n, piece = 48 << 20, r.integers(97, 123, 5000).astype(np.uint8)
+data = r.integers(97, 123, n).astype(np.uint8)
+at = np.arange(10**6, n - 10**6, 4 * 10**6)
+for i, a in enumerate(at.tolist()):
+    data[a : a + 5000] = piece
+    data[[a - 1, a + 5000]] = i  # copies differ around the piece
+hold, seen = induced.Space.array, []
+induced.Space.array = lambda self, k, t: (seen.append(k * np.dtype(t).itemsize), hold(self, k, t))[1]
+before = int(open('/proc/self/status').read().split('RssAnon:')[1].split()[0])
+peak = [before]
+go = True
+def watch():
+    while go:
+        peak.append(int(open('/proc/self/status').read().split('RssAnon:')[1].split()[0])); time.sleep(0.05)
+t = threading.Thread(target=watch); t.start()
+hit = induced.repeated_starts(data, np.array([0, n]), 400)
+go = False; t.join()
+want = np.zeros(n, bool)
+for a in at.tolist():
+    want[a : a + 4601] = True
+assert (np.asarray(hit) == want).all(), (int(hit.sum()), int(want.sum()))
+print(sum(seen) >> 20, (max(peak) - before) >> 10)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr[-2000:]
+    made, held = map(int, out.stdout.split())
+    assert made > 1000 and held < 700, out.stdout
