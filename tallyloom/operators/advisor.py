@@ -67,9 +67,10 @@ def mean_cost(decks: DataFrame, items: DataFrame, basic: str) -> DataFrame:
 
 
 def leader_suggestions(rates: DataFrame, decks: DataFrame, k: int = 3) -> DataFrame:
-    """(item, rank, leader, rate): the k leaders with the best rate whose deck lacks the item."""
+    """(item, rank, leader, rate): the k leaders with the best rate whose deck lacks the item; rates to two places."""
     j = rates.select("item", "leader", "rate").join(decks.select("leader", "item"), ["leader", "item"], "left_anti")
-    return j.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("rate"), "leader"))).where(F.col("rank") <= k)
+    j = j.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("rate"), "leader"))).where(F.col("rank") <= k)
+    return j.select("item", "leader", F.round(F.col("rate").cast("decimal(12,4)"), 2).cast("double").alias("rate"), "rank")
 
 
 def detected_leader(cards: DataFrame, rates: DataFrame) -> DataFrame:
@@ -184,3 +185,17 @@ def mean_cost_of_decks(lines: DataFrame, items: DataFrame, baskets: DataFrame, b
     per = lines.join(items.where(F.col("kind") != basic).select("item", "cost"), "item").groupBy("leader", "basket_id").agg(F.round((F.sum(F.col("cost") * F.col("qty")) / F.sum("qty")).cast("decimal(20,8)"), 2).alias("c"))
     n = baskets.groupBy("leader").agg(F.count("*").alias("decks"))
     return per.groupBy("leader").agg(F.sum("c").alias("s")).join(n, "leader").select("leader", F.round((F.col("s") / F.col("decks")).cast("decimal(20,8)"), 2).cast("double").alias("mean_cost"))
+
+
+def counters(collection: DataFrame, candidates: DataFrame, decks: DataFrame) -> DataFrame:
+    """(name, n): items of the collection, those of it and of opened sets that are free, and leaders with a deck."""
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    free = candidates.groupBy("source").agg(F.count("*").alias("n"))
+    names = collection.sparkSession.createDataFrame([("collection",), ("opened",)], "source string")
+    free = names.join(free, "source", "left").select(F.concat(F.lit("free of "), "source").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+    return n(collection, "collection").unionByName(free).unionByName(n(decks.select("leader").distinct(), "leaders"))
+
+
+def without_data(decks: DataFrame, rates: DataFrame) -> DataFrame:
+    """(leader): leaders with a deck of whom no rates are known; their items cannot be moved."""
+    return decks.select("leader").distinct().join(rates.select("leader").distinct(), "leader", "left_anti")

@@ -131,3 +131,8 @@ def recently_changed(files: DataFrame, since: DataFrame) -> DataFrame:
     """(name, sync): whether a file (name, changed) is newer than its last sync (name, synced); files without one are."""
     j = files.join(since, "name", "left")
     return j.select("name", (F.col("synced").isNull() | (F.col("changed") > F.col("synced"))).alias("sync"))
+
+
+def configured(old: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Deck entries (deck_id, url, leader, name) after decks were added or refreshed, by deck_id, and removed (deck_id)."""
+    return upserted(old, added, ["deck_id"], F.struct("name", "url")).join(removed.select("deck_id"), "deck_id", "left_anti").select(old.columns)

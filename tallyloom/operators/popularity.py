@@ -7,6 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Names that are no advice, as they are written (fixed values).
+SIX_BASICS = ["Plains", "Island", "Swamp", "Mountain", "Forest", "Wastes"]
+
+
+def without_basics(rows: DataFrame, column: str = "item") -> DataFrame:
+    """The rows whose name is none of the six basics, case and all."""
+    return rows.where(~F.col(column).isin(SIX_BASICS))
+
+
 def additions(mine: DataFrame, rates: DataFrame, k: int = 20) -> DataFrame:
     """(owner, rank, item, score): the k items of the leader found in most of its baskets that the owner lacks.
 

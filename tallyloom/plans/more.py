@@ -82,6 +82,12 @@ def _runs(t: Derived):
     return t.read("orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
 
 
+def _config(t: Derived):
+    entry = t.nations().select(F.col("leader").alias("deck_id"), F.concat(F.lit("deck/"), F.col("leader")).alias("url"), "leader", "name")
+    fresh = entry.where("leader % 4 = 0").withColumn("name", F.concat("name", F.lit(" again")))
+    return catalogue.configured(entry.where("leader < 20"), fresh, entry.where("leader % 5 = 0"))
+
+
 def _documents(t: Derived):
     return t.read("documents").select("doc_id", advisor.shortened(F.col("text")).alias("text"))
 
@@ -90,6 +96,9 @@ QUERIES = {
     "q03_profiles": _q(lambda t: stats.signatures(t.profile(), 500)),
     "q04_additions_or_fallback": _q(_unknown, True),
     "q05_pairwise_support": _q(lambda t: popularity.pairwise_support(t.decks().select(F.col("leader").alias("owner"), "item"), t.basket_items()), True),
+    "q06_counters": _q(lambda t: advisor.counters(t.collection(), advisor.available(t.collection(), t.decks(), t.opened()), t.decks()), True),
+    "q07_without_data": _q(lambda t: advisor.without_data(t.decks(), t.rates().where("leader % 3 <> 0"))),
+    "m4_deck_config": _q(_config),
     "q09_kinds_of_decks": _q(lambda t: advisor.deck_means_of_kind(t.lines(), t.items(), t.baskets())),
     "q09_mean_cost_of_decks": _q(lambda t: advisor.mean_cost_of_decks(t.lines(), t.items(), t.baskets(), BASIC)),
     "q13_rate_lookup": _q(lambda t: advisor.rate_of(t.decks(), t.rates())),
@@ -170,6 +179,9 @@ SQL = {
         "known AS (SELECT owner FROM adds GROUP BY owner HAVING count(*) >= 20)",
     ),
     "q05_pairwise_support": _more("SELECT * FROM (SELECT leader AS owner, row_number() OVER (PARTITION BY leader ORDER BY support, item) AS rank, item, support FROM (SELECT d.leader, d.item, coalesce(sum(co.n) FILTER (o.item IS NOT NULL), 0)::BIGINT AS support FROM decks d LEFT JOIN co ON d.item = co.item LEFT JOIN decks o ON d.leader = o.leader AND co.other = o.item GROUP BY 1, 2)) WHERE rank <= 20", _COOC),
+    "q06_counters": _more("SELECT 'collection' AS name, count(*) AS n FROM collection UNION ALL SELECT 'free of collection', count(*) FROM avail UNION ALL SELECT 'free of opened', count(*) FROM candidates WHERE source = 'opened' UNION ALL SELECT 'leaders', count(DISTINCT leader) FROM decks"),
+    "q07_without_data": _more("SELECT DISTINCT leader FROM decks WHERE leader NOT IN (SELECT leader FROM rates WHERE leader % 3 <> 0)"),
+    "m4_deck_config": "SELECT n_nationkey AS deck_id, 'deck/' || n_nationkey AS url, n_nationkey AS leader, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ' again' ELSE n_name END AS name FROM nation WHERE (n_nationkey < 20 OR n_nationkey % 4 = 0) AND n_nationkey % 5 <> 0",
     "q09_kinds_of_decks": _more("SELECT leader, kind, round(CAST(s::DOUBLE / total AS DECIMAL(20,8)), 1)::DOUBLE AS mean FROM (SELECT leader, p_type AS kind, sum(qty) AS s FROM lines JOIN part ON item = p_partkey GROUP BY 1, 2) JOIN totals USING (leader)"),
     "q09_mean_cost_of_decks": _more("SELECT leader, round(CAST(sum(c)::DOUBLE / any_value(total) AS DECIMAL(20,8)), 2)::DOUBLE AS mean_cost FROM (SELECT leader, basket_id, round(CAST(sum(p_size * qty)::DOUBLE / sum(qty) AS DECIMAL(20,8)), 2) AS c FROM lines JOIN part ON item = p_partkey WHERE p_type <> 'ECONOMY' GROUP BY 1, 2) JOIN totals USING (leader) GROUP BY leader"),
     "q13_rate_lookup": _more("SELECT d.leader, d.item, round(CAST(rate AS DECIMAL(12,4)), 1)::DOUBLE AS rate, n, total FROM decks d LEFT JOIN rates r ON d.leader = r.leader AND d.item = r.item"),

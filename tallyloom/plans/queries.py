@@ -221,7 +221,7 @@ SQL = {
         "q08_cuts": "SELECT d.leader, row_number() OVER (PARTITION BY d.leader ORDER BY coalesce(rate, 0), d.item) AS rank, d.item, coalesce(rate, 0) AS rate, coalesce(n, 0) AS n, t.total FROM decks d JOIN part ON d.item = p_partkey AND p_type <> 'ECONOMY' JOIN totals t ON d.leader = t.leader LEFT JOIN rates r ON d.leader = r.leader AND d.item = r.item",
         "q09_composition": "SELECT leader, kind, coalesce(own, 0)::BIGINT AS own, coalesce(corpus_mean, 0) AS corpus_mean FROM (SELECT leader, p_type AS kind, round(sum(qty)::DOUBLE / any_value(total), 4) AS corpus_mean FROM lines JOIN part ON item = p_partkey JOIN totals USING (leader) GROUP BY 1, 2) FULL JOIN (SELECT leader, p_type AS kind, sum(qty) AS own FROM decks JOIN part ON item = p_partkey GROUP BY 1, 2) USING (leader, kind)",
         "q09_mean_cost": "SELECT leader, round(CAST(sum(p_size * qty)::DOUBLE / sum(qty) AS DECIMAL(20,8)), 2)::DOUBLE AS mean_cost FROM decks JOIN part ON item = p_partkey WHERE p_type <> 'ECONOMY' GROUP BY leader",
-        "q10_leader_suggestions": "SELECT * FROM (SELECT item, leader, rate, row_number() OVER (PARTITION BY item ORDER BY rate DESC, leader) AS rank FROM rates WHERE (leader, item) NOT IN (SELECT leader, item FROM decks)) WHERE rank <= 3",
+        "q10_leader_suggestions": "SELECT item, leader, round(CAST(rate AS DECIMAL(12,4)), 2)::DOUBLE AS rate, rank FROM (SELECT item, leader, rate, row_number() OVER (PARTITION BY item ORDER BY rate DESC, leader) AS rank FROM rates WHERE (leader, item) NOT IN (SELECT leader, item FROM decks)) WHERE rank <= 3",
         "q11_leader_detection": "SELECT basket_id, leader, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY score DESC, matched DESC, leader) AS r FROM (SELECT b.basket_id, r.leader, round(CAST(CAST(sum(CAST(rate AS DECIMAL(12,4))) AS DOUBLE) / count(*) AS DECIMAL(20,8)), 2)::DOUBLE AS score, count(*) AS matched FROM bi b JOIN rates r ON b.item = r.item GROUP BY 1, 2)) WHERE r = 1",
         "q12_best_leaders": _BEST.format("(SELECT item, 'list' AS source FROM collection)"),
         "q12_not_found": "SELECT item FROM collection WHERE item NOT IN (SELECT item FROM rates)",

@@ -38,10 +38,10 @@ def corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus_baskets(rows: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(baskets, items) of a corpus: leader by the alias table (alias, canonical), unmapped ones left out; folder if none is named."""
+    """(baskets, items) of a corpus: leader by the alias table (alias, canonical), unmapped ones left out, an empty table leaving all as they are; folder if none is named."""
     named = rows.groupBy("file", "folder").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_leader"), F.col("name")))), " + ").alias("l"))
     b = named.select(F.col("file").alias("basket_id"), F.when(F.col("l") == "", F.regexp_replace("folder", "_", " ")).otherwise(F.col("l")).alias("leader"))
-    if aliases is not None:
+    if aliases is not None and not aliases.isEmpty():
         b = b.join(aliases.select(F.col("alias").alias("leader"), "canonical"), "leader").select("basket_id", F.col("canonical").alias("leader"))
     i = rows.where(~F.col("is_leader") & ~F.col("name").isin(BASIC_LANDS)).select(F.col("file").alias("basket_id"), F.col("name").alias("item")).distinct().join(b, "basket_id")
     return b, i

@@ -98,5 +98,7 @@ def test_support_and_sync(spark):
     files = spark.createDataFrame([("a", 5), ("b", 5), ("c", 1)], "name string, changed long")
     since = spark.createDataFrame([("a", 3), ("b", 7)], "name string, synced long")
     assert {r.name: r.sync for r in catalogue.recently_changed(files, since).collect()} == {"a": True, "b": False, "c": True}
+    named = spark.createDataFrame([("Plains",), ("plains",), ("Wastes",), ("Rock",)], "item string")
+    assert {r.item for r in popularity.without_basics(named).collect()} == {"plains", "Rock"}
     bad = spark.createDataFrame([(1.0, float("nan")), (None, 2.0)], "x double, y double")
     assert {r.feature: r.empty for r in ml.empty_counts(bad, ["x", "y"]).collect()} == {"x": 1, "y": 1}

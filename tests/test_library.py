@@ -88,6 +88,7 @@ def test_corpus_reader(spark, tmp_path):
     assert sorted(r.item for r in i.collect()) == ["Café", "Sol Ring"]
     alias = spark.createDataFrame([("Boss", "The Boss")], "alias string, canonical string")
     assert [r.leader for r in lists.corpus_baskets(rows, alias)[0].collect()] == ["The Boss"]
+    assert sorted(r.leader for r in lists.corpus_baskets(rows, alias.limit(0))[0].collect()) == ["Boss", "Some Leader"]
 
 
 def test_nested_json(spark, tmp_path):
