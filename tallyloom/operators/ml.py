@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .density import NOISE, dense_clusters
 from .hybrid import compatible
 
+#: Numbers of k-means groups that are tried, and the floors of clusters by density (fixed values).
+KS, LEAST_SILHOUETTE, LEAST_GROUPS = (25, 50, 75), 0.05, 10
+
 
 def features(profile: DataFrame, frequency: DataFrame, items: DataFrame, hybrids: DataFrame, item_colours: DataFrame, leader_colours: DataFrame) -> DataFrame:
     """(leader, item, cosine, tfidf_norm, idf, cost, frequency, compatible, label): label is ln(1 + rate); missing values are 0, unknown colours fit."""
@@ -66,13 +70,8 @@ def rate_model(rows: DataFrame, split: DataFrame, columns: list[str], rounds: in
     return model, model.transform(x.where("held_out")).select("leader", "item", "label", "prediction", *columns)
 
 
-def clustered(vectors: DataFrame, ks: tuple[int, ...] = (25, 50, 75), variance: float = 0.95, seed: int = 42) -> DataFrame:
-    """(item, group): normalised vectors reduced to components that hold `variance`, grouped by the k-means of best silhouette.
-
-    A k that is not under the number of vectors is left out; if all are, one group holds all.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
+def reduced(vectors: DataFrame, variance: float = 0.95) -> DataFrame:
+    """(item, r): normalised vectors as the fewest principal components that hold `variance`, a stored table."""
     from pyspark.ml.feature import PCA, Normalizer, VectorSlicer
     from pyspark.ml.functions import array_to_vector
 
@@ -84,14 +83,49 @@ def clustered(vectors: DataFrame, ks: tuple[int, ...] = (25, 50, 75), variance:
         held, keep = held + share, keep + 1
         if held >= variance:
             break
-    y = VectorSlicer(inputCol="all", outputCol="r", indices=list(range(keep))).transform(pca.transform(x)).select("item", "r")
-    y = stored(y, "components")
+    return stored(VectorSlicer(inputCol="all", outputCol="r", indices=list(range(keep))).transform(pca.transform(x)).select("item", "r"), "components")
+
+
+def silhouette(rows: DataFrame) -> float:
+    """Mean silhouette (squared Euclidean) of (r, group) over all rows in a group; 0 with fewer than two groups."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    real = rows.where(F.col("group") != NOISE)
+    if real.select("group").distinct().limit(2).count() < 2:
+        return 0.0
+    return ClusteringEvaluator(featuresCol="r", predictionCol="group").evaluate(real.select("r", F.col("group").cast("double").alias("group")))
+
+
+def clusterings(vectors: DataFrame, ks: tuple[int, ...] = KS, variance: float = 0.95, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(item, group, method) of the clustering that is kept, and (method, clusters, silhouette, mean_size, noise, chosen) of all.
+
+    Clusters by density are kept if their silhouette and number reach the floors, else the k-means of best silhouette.
+    A k that is not under the number of vectors is left out; if all are, one group holds all.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import vector_to_array
+
+    y = reduced(vectors, variance)
     n = y.count()
-    ks = [k for k in ks if k < n]
-    if not ks:
-        return y.select("item", F.lit(0).alias("group"))
-    best = max((KMeans(k=k, seed=seed, featuresCol="r", predictionCol="group").fit(y).transform(y) for k in ks), key=ClusteringEvaluator(featuresCol="r", predictionCol="group").evaluate)
-    return best.select("item", F.col("group"))
+    tried = {"density": y.join(dense_clusters(y.select("item", vector_to_array("r").alias("vec"))).withColumnRenamed("cluster", "group"), "item")}
+    for k in ks:
+        if k < n:
+            tried[f"kmeans_{k}"] = KMeans(k=k, seed=seed, featuresCol="r", predictionCol="group").fit(y).transform(y)
+    if len(tried) == 1:
+        tried["one"] = y.withColumn("group", F.lit(0))
+    told = {}
+    for name, rows in tried.items():
+        counts = rows.where(F.col("group") != NOISE).agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups")).first()
+        told[name] = (counts.groups, round(silhouette(rows), 4), round(counts.n / counts.groups, 1) if counts.groups else 0.0, n - counts.n)
+    groups, score, *_ = told["density"]
+    best = "density" if score >= LEAST_SILHOUETTE and groups >= LEAST_GROUPS else max((m for m in told if m != "density"), key=lambda m: told[m][1])
+    report = vectors.sparkSession.createDataFrame([(m, *v, m == best) for m, v in told.items()], "method string, clusters long, silhouette double, mean_size double, noise long, chosen boolean")
+    return tried[best].select("item", F.col("group").cast("long").alias("group"), F.lit(best).alias("method")), report
+
+
+def clustered(vectors: DataFrame, ks: tuple[int, ...] = KS, variance: float = 0.95, seed: int = 42) -> DataFrame:
+    """(item, group, method): see clusterings."""
+    return clusterings(vectors, ks, variance, seed)[0]
 
 
 def described(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -40,21 +40,32 @@ def rounded(x: np.ndarray) -> np.ndarray:
     return out + 0.0  # no negative zero
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column of lists of one length, as rows of doubles."""
+    one = column.combine_chunks()
+    return one.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(one), -1)
+
+
+def paired(corpus: DataFrame, asked: DataFrame, block: int = BLOCK):
+    """Rows of both, grouped so that each block of one meets each block of the other in one task; `ask` tells them apart."""
+    n, m = max(1, -(-corpus.count() // block)), max(1, -(-asked.count() // block))
+    place = lambda k: F.pmod(F.xxhash64("item"), F.lit(k)).cast("int")
+    left = corpus.select("*", place(n).alias("c"), F.lit(False).alias("ask")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = asked.select("*", place(m).alias("q"), F.lit(True).alias("ask")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return left.unionByName(right, allowMissingColumns=True).groupBy("c", "q")
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame:
     """(item, rank, neighbor, similarity): for each query the k most similar other vectors, exactly.
 
     Corpus and queries are dealt into blocks; a task multiplies one block of each and keeps k rows a
     query, so rows put out grow with queries * corpus blocks, never with all pairs.
     """
-    n = max(1, -(-vectors.count() // BLOCK))
-    m = max(1, -(-queries.count() // BLOCK))
-    corpus = vectors.select("item", "vec", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int").alias("c"), F.lit(False).alias("ask")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    asked = queries.select("item", "vec", F.pmod(F.xxhash64("item"), F.lit(m)).cast("int").alias("q"), F.lit(True).alias("ask")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(t: pa.Table) -> pa.Table:
         ask = t.column("ask").to_numpy()
         ids = t.column("item").to_numpy()
-        v = np.array(t.column("vec").to_pylist(), np.float64).reshape(len(ids), -1)
+        v = matrix(t.column("vec"))
         norm = np.sqrt((v * v).sum(1, keepdims=True))
         v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
         sim = v[ask] @ v[~ask].T
@@ -75,7 +86,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame
         item, other, value = (np.concatenate(x) for x in zip(*out)) if out else (q[:0], c[:0], np.zeros(0))
         return pa.table({"item": item, "neighbor": other, "similarity": value})
 
-    found = corpus.unionByName(asked).groupBy("c", "q").applyInArrow(run, "item long, neighbor long, similarity double")
+    found = paired(vectors.select("item", "vec"), queries.select("item", "vec")).applyInArrow(run, "item long, neighbor long, similarity double")
     rank = F.row_number().over(W.partitionBy("item").orderBy(F.desc("similarity"), "neighbor"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("item", "rank", "neighbor", "similarity")
 

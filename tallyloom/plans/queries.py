@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import advisor, catalogue, hybrid, ml, popularity, stats, tags, vectors
+from ..operators import advisor, catalogue, density, hybrid, ml, popularity, stats, tags, vectors
 from ..sources.driver_tables import BASIC, Tables
 from ..storage import stored
 
@@ -164,6 +164,8 @@ QUERIES = {
     "q28_rate_model": _q(_model, True),
     "q30_ranking_metrics": _q(lambda t: ml.ranking_metrics(t.profile(), "rate", "tfidf")),
     "q31_clusters": _q(lambda t: ml.clustered(t.vectors())),
+    "q32_methods": _q(lambda t: ml.clusterings(t.vectors())[1]),
+    "q32_dense_clusters": _q(lambda t: density.dense_clusters(t.vectors())),
     "m1_upsert": _q(_upsert),
     "m2_insert_if_absent": _q(_absent),
     "m3_deck_moves": _q(lambda t: catalogue.moved(t.decks(), t.decks().select("leader", "item", F.when(F.col("item") % 2 == 0, -F.col("qty")).otherwise(F.lit(1)).alias("delta")))),
