@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .density import NOISE, dense_clusters
 from .hybrid import compatible
+from .skipgram import SUBSAMPLE, skip_gram
 
 #: Numbers of k-means groups that are tried, and the floors of clusters by density (fixed values).
 KS, LEAST_SILHOUETTE, LEAST_GROUPS = (25, 50, 75), 0.05, 10
@@ -48,16 +49,11 @@ def errors(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return m.select(F.round(F.sqrt("mse"), 6).alias("rmse"), F.round("mae", 6).alias("mae"), F.round(1 - F.col("mse") / F.col("v"), 6).alias("r2"))
 
 
-def item_vectors(lines: DataFrame, size: int = 128, window: int = 10, least: int = 5, epochs: int = 10, seed: int = 42) -> DataFrame:
-    """(item, vec) by skip-gram over baskets; an item stands up to four times, by its quantity."""
-    from pyspark.ml.feature import Word2Vec
-
-    words = lines.withColumn("w", F.expr("array_repeat(CAST(item AS STRING), CAST(least(greatest(qty, 1), 4) AS INT))"))
-    sentences = words.groupBy("basket_id").agg(F.flatten(F.sort_array(F.collect_list("w"))).alias("words"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=epochs, seed=seed, inputCol="words", outputCol="v").fit(sentences)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(F.col("word").cast("long").alias("item"), vector_to_array("vector").alias("vec"))
+def item_vectors(lines: DataFrame, size: int = 128, window: int = 10, least: int = 5, epochs: int = 10, seed: int = 42, sample: float = SUBSAMPLE) -> DataFrame:
+    """(item, vec) by skip-gram with negative sampling over baskets; an item stands up to four times, by its quantity."""
+    words = lines.withColumn("w", F.expr("array_repeat(item, CAST(least(greatest(qty, 1), 4) AS INT))"))
+    sentences = words.groupBy(F.col("basket_id").alias("sentence")).agg(F.flatten(F.sort_array(F.collect_list("w"))).alias("words"))
+    return skip_gram(sentences, size, window, least, epochs, seed, sample)
 
 
 def rate_model(rows: DataFrame, split: DataFrame, columns: list[str], rounds: int = 500, seed: int = 42):
