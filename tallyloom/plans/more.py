@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from ..operators import advisor, catalogue, clusters, hybrid, insight, ml, popularity, stats, tags
+from ..operators import advisor, catalogue, clusters, hybrid, index, insight, ml, popularity, shapley, stats, tags
 from ..sources.driver_tables import BASIC
+from ..storage import stored
 from .queries import _DECKS, _SCORED, FEATURES, Derived, _features, _q, _sql, _trained
 
-#: Tags that name a family of clusters, types in the order in which they are looked for, and reference names (fixed values of the queries).
+#: Tags that name a family of clusters, types in the order in which they are looked for, reference names, and rows whose
+#: contributions are summed (fixed values of the queries).
 FAMILIES = ["red", "blue", "hot", "cold", "widget"]
+SHAPLEY_ROWS = 3000
 TYPES = ["PROMO", "RED", "SMALL", "BLUE", "ECONOMY"]
 REFERENCES = ["red widget", "blue bolt", "hot gear", "cold anvil", "new ring", "old rod", "small plate", "large gizmo", "no such name", "red gear"]
 
@@ -78,6 +83,35 @@ def _importance(t: Derived):
     return ml.importances(model, FEATURES, t.spark)
 
 
+def _two_models(t: Derived):
+    """name: (model, predictions, features) of the model without the cosine and of that with it."""
+    rows = stored(_features(t), "features")
+    split = ml.held_out(rows, "leader")
+    return {name: (*ml.rate_model(rows, split, columns), columns) for name, columns in (("baseline", FEATURES[1:]), ("full", FEATURES))}
+
+
+def _union(parts: dict):
+    """The tables of a dictionary, with its keys as column `model`."""
+    return reduce(lambda a, b: a.unionByName(b), (df.withColumn("model", F.lit(name)) for name, df in parts.items()))
+
+
+def _explained(guess, model, columns):
+    return shapley.explained(shapley.sampled(guess, ["leader", "item"], SHAPLEY_ROWS), model, columns)
+
+
+def _shap(t: Derived):
+    return _union({name: shapley.mean_contributions(_explained(guess, model, columns), columns) for name, (model, guess, columns) in _two_models(t).items()})
+
+
+def _shap_cosine(t: Derived):
+    model, guess = _trained(t)
+    return shapley.feature_effect(_explained(guess, model, FEATURES), FEATURES, "cosine")
+
+
+def _asked_vectors(t: Derived):
+    return t.vectors().where("item % 50 = 0")
+
+
 def _runs(t: Derived):
     return t.read("orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
 
@@ -140,6 +174,12 @@ QUERIES = {
     "q29_errors": _q(lambda t: ml.error_scales(_trained(t)[1]), True),
     "q29_errors_by_cosine": _q(lambda t: ml.errors_by_tercile(_trained(t)[1], "cosine"), True),
     "q29_importances": _q(_importance, True),
+    "q24_indexed_neighbours": _q(lambda t: index.built(t.vectors()).search(_asked_vectors(t))),
+    "q24_index_recall": _q(lambda t: index.recall_of(index.built(t.vectors()), _asked_vectors(t))),
+    "q28_models": _q(lambda t: _union({name: ml.error_scales(guess) for name, (_, guess, _) in _two_models(t).items()}), True),
+    "q29_contributions": _q(_shap, True),
+    "q29_contributions_of_cosine": _q(_shap_cosine, True),
+    "q30_ranking_by_models": _q(lambda t: _union({name: ml.ranking_metrics(guess, "label", "prediction") for name, (_, guess, _) in _two_models(t).items()}), True),
 }
 
 
