@@ -1,33 +1,33 @@
 """Personal data and the terms that reveal it: information-theoretic sanitisation, in DataFrame operations only.
 
 Patterns find e-mail and IP addresses, card and phone numbers; each distinct value is a protected
-entity e. A term t that stands in a document with e reveals it as far as the corpus says so:
-
-    information of e       IC(e)     = log2(N / n(e))
-    what t tells of it     PMI(e; t) = log2(N * n(e, t) / (n(e) * n(t)))
-    disclosure             PMI / IC  (1: whoever reads t knows e)
-
-with N the documents, n(e) and n(t) those that hold e or t, and n(e, t) those that hold both. No entity
-and no pair is too rare to count. PMI is bounded by significance instead: documents that hold t are
-chance if as many of them as do, or more, hold e with a probability above CHANCE where e and t have
-nothing to do with each other (the Chernoff bound, exact where all that hold t hold e). In a document
-with e, a term whose disclosure reaches GENERALISE is replaced by its kind of word wherever it stands,
-one that reaches REMOVE goes.
+entity e. How strongly a term t that stands in a document with e reveals it is, of N documents,
+
+    disclosure = log2(P(e | t) / P(e)) / log2(1 / P(e))  (1: whoever reads t knows e; 0: t tells nothing)
+
+which reaches a threshold g where P(e | t) reaches P(e)^(1 - g). P(e | t) is not taken as counted: a word that was
+seen once, in one document with e, would tell all. Instead g counts as reached if documents so many would show e so
+often beside t only with a probability under CHANCE / R if P(e | t) was lower, where R is the number of terms of the
+corpus rare enough to be tested (Chernoff's bound; so one false term an entity in 1 / CHANCE entities at most).
+Texts of one entity that share most of their words are no independent evidence: equal texts count once, and counts
+are divided by the design effect of the entity, the mean number of its texts that hold a term. Entities of a
+single text tell nothing. In a document with e, a term that reaches REMOVE goes; one that reaches GENERALISE is
+replaced by the rarest term that subsumes it, does not tell e, and is at least TWICE as common, or by its kind of word.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
-from .tables import stored
+from .tables import discard, free_names, quoted, stored
 
-GENERALISE, REMOVE = 0.8, 0.95
+#: Disclosures that are generalised or removed, and the chance of a false one among all terms tested for an entity.
+GENERALISE, REMOVE = 0.5, 0.8
 CHANCE = 0.05
+#: The share of a term's texts that hold a term that subsumes it, and how much commoner that is.
+SUBSUMED, TWICE = 0.8, 2
 
 #: kind: pattern. Each finds what the plain pattern in the comment finds, leftmost and without overlaps, in linear time:
 #: possessive repeats need no stack, and starts inside a run that already failed are skipped.
@@ -120,11 +120,12 @@ def holders(found: DataFrame) -> DataFrame:
     return found.where(F.size("base") > 0).select("t1", "t2", entities.alias("e"), terms.alias("t")).groupBy("t1", "t2").agg(F.count("*").alias("w"), F.first("e").alias("e"), F.first("t").alias("t"))
 
 
-def evidence(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
-    """The bits that speak against chance: -log2 of the bound on its probability."""
-    rest = n_t - n_et
-    other = F.when(rest > 0, rest * F.log2(F.when(rest > 0, rest).otherwise(1) * n / (n_t * (n - n_e)))).otherwise(0.0)
-    return n_et * F.log2(n_et * n / (n_t * n_e)) + other
+def reaches(n: Column, n_e: Column, n_t: Column, n_et: Column, k: Column, tested: Column, g: float) -> Column:
+    """Whether the disclosure of e by t reaches g: k independent texts hold both, n_t - n_et rows hold t alone."""
+    q, alone = F.pow(n_e / n, F.lit(1 - g)), n_t - n_et
+    x = k / (k + alone)
+    bits = k * F.log2(x / q) + F.when(alone > 0, alone * F.log2(F.when(alone > 0, 1 - x).otherwise(1.0) / (1 - q))).otherwise(0.0)
+    return (x > q) & (bits >= F.log2(tested / CHANCE))
 
 
 def most_rows(n: Column, n_e: Column) -> Column:
@@ -132,44 +133,64 @@ def most_rows(n: Column, n_e: Column) -> Column:
     return F.pow(n_e.cast("double"), F.lit(GENERALISE)) * F.pow(n, F.lit(1 - GENERALISE)) * (1 + 1e-9)
 
 
-def candidates(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
-    """(t1, t2, w, entity, n_e, term, n_t) of each entity and term of a text, less those whose term stands in too many rows; and the number of rows.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): the rows that hold a term."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
+    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def candidates(texts: DataFrame, words: DataFrame, rows: int) -> tuple[DataFrame, Column]:
+    """(t1, t2, w, entity, n_e, term, n_t) of each entity and term of a text, less those whose term stands in too many rows; and the number of terms tested.
 
     Counts are over all rows. What every row holds is no secret, and nothing discloses it. Terms are
-    told from others by their counts before they meet entities, so common words make no pairs. All
-    entities that stand in one text only have the same counts, so they are one there.
+    told from others by their counts before they meet entities, so common words make no pairs.
     """
-    n = F.lit(float(found.count()))
-    texts = stored(holders(found), "personal-texts")
-    entities = stored(texts.select("w", F.explode("e").alias("entity")).groupBy("entity").agg(F.sum("w").alias("n_e"), F.count("*").alias("texts")).where(F.col("n_e") < n), "entities")
+    n = F.lit(float(rows))
+    entities = texts.select("w", F.explode("e").alias("entity")).groupBy("entity").agg(F.sum("w").alias("n_e"), F.count("*").alias("texts"))
+    entities = stored(entities.where((F.col("n_e") < n) & (F.col("texts") > 1)).select("entity", "n_e"), "entities")
     top = F.lit(float(entities.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    rare = stored(words.where(F.col("n_t") <= most_rows(n, top)), "rare-words")
-    alike = F.when(F.col("texts") == 1, F.concat_ws(" ", F.lit("only"), "t1", "t2")).otherwise(F.col("entity"))
-    own = texts.select("t1", "t2", "w", F.explode("e").alias("entity")).join(entities, "entity").withColumn("entity", alike).groupBy("t1", "t2").agg(F.first("w").alias("w"), F.max("n_e").alias("most"), F.collect_set(F.struct("entity", "n_e")).alias("e"))
-    terms = texts.select("t1", "t2", F.explode("t").alias("term")).join(rare, "term").join(own, ["t1", "t2"]).where(F.col("n_t") <= most_rows(n, F.col("most")))
-    both = terms.select("t1", "t2", "w", "term", "n_t", F.explode("e").alias("x")).select("t1", "t2", "w", "x.entity", "x.n_e", "term", "n_t")
-    return stored(both.where(F.col("n_t") <= most_rows(n, F.col("n_e"))), "candidate-terms"), n
+    rare = words.where(F.col("n_t") <= most_rows(n, top))
+    tested = F.lit(float(max(1, rare.count())))
+    own = texts.select("t1", "t2", "w", F.explode("e").alias("entity")).join(entities, "entity").groupBy("t1", "t2").agg(F.first("w").alias("w"), F.max("n_e").alias("most"), F.collect_set(F.struct("entity", "n_e")).alias("x"))
+    terms = texts.join(own.drop("w"), ["t1", "t2"]).select("t1", "t2", "w", "most", "x", F.explode("t").alias("term")).join(rare, "term").where(F.col("n_t") <= most_rows(n, F.col("most")))
+    both = terms.select("t1", "t2", "w", "term", "n_t", F.explode("x").alias("x")).select("t1", "t2", "w", "x.entity", "x.n_e", "term", "n_t")
+    return stored(both.where(F.col("n_t") <= most_rows(n, F.col("n_e"))), "candidate-terms"), tested
 
 
-def disclosures(pairs: DataFrame, n: Column) -> DataFrame:
-    """(entity, term, disclosure) of the candidates beyond chance that reach GENERALISE."""
-    joint = pairs.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.sum("w").alias("n_et"))
-    told = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
-    beyond = evidence(n, F.col("n_e"), F.col("n_t"), F.col("n_et")) >= -math.log2(CHANCE)
-    return joint.where(beyond).select("entity", "term", told.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+def disclosures(pairs: DataFrame, rows: int, tested: Column) -> DataFrame:
+    """(entity, term, remove) of the candidates that reach GENERALISE; remove: REMOVE too."""
+    joint = pairs.groupBy("entity", "term").agg(F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"), F.sum("w").alias("n_et"), F.count("*").alias("k"))
+    effect = joint.groupBy("entity").agg((F.sum(F.col("k") * F.col("k")) / F.sum("k")).alias("effect"))
+    args = (F.lit(float(rows)), F.col("n_e"), F.col("n_t"), F.col("n_et"), F.col("k") / F.col("effect"), tested)
+    return joint.join(effect, "entity").where(reaches(*args, GENERALISE)).select("entity", "term", reaches(*args, REMOVE).alias("remove"))
+
+
+def subsumers(texts: DataFrame, told: DataFrame, words: DataFrame) -> DataFrame:
+    """(term, general): for a term of told (t1, t2, term) the rarest that stands in SUBSUMED of its texts, is TWICE as common, and is told of no text."""
+    mine = told.select("t1", "t2", "term").distinct()
+    k = mine.groupBy("term").agg(F.count("*").alias("k"))
+    beside = mine.join(texts.select("t1", "t2", F.explode("t").alias("general")), ["t1", "t2"]).groupBy("term", "general").agg(F.count("*").alias("both"))
+    beside = beside.join(k, "term").where(F.col("both") >= SUBSUMED * F.col("k")).join(k.select(F.col("term").alias("general")), "general", "left_anti")
+    counted = beside.join(words.select(F.col("term").alias("general"), F.col("n_t").alias("n_u")), "general").join(words, "term").where(F.col("n_u") >= TWICE * F.col("n_t"))
+    return counted.groupBy("term").agg(F.min_by("general", F.struct("n_u", "general")).alias("general"))
 
 
 def sanitisable(docs: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, base, terms) of every row; terms: array of struct(start, kind number, end, disclosure) to generalise or remove."""
+    """(doc_id, t1, t2, base, terms) of every row; terms: array of struct(start, kind number, end, general) to remove (general is empty) or replace (by a term, or null: by its kind)."""
     found = stored(scanned(docs), "personal-data")
-    pairs, n = candidates(docs, found)
-    told = pairs.join(stored(disclosures(pairs, n), "disclosures"), ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("disclosure").alias("disclosure"))
-    each = stored(told.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told")), "told")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,disclosure:double>>")
-    placed = F.transform(F.col("terms"), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end"), F.try_element_at(F.col("told"), x["term"]).alias("disclosure")))
-    marked = F.when(F.col("told").isNull(), none).otherwise(F.filter(placed, lambda x: x["disclosure"].isNotNull()))
-    with_data = found.where(F.size("base") > 0).join(each, ["t1", "t2"], "left").withColumn("terms", marked).drop("told")
+    rows = found.count()
+    texts = stored(holders(found), "personal-texts")
+    words = stored(word_counts(docs), "word-counts")
+    pairs, tested = candidates(texts, words, rows)
+    told = pairs.join(disclosures(pairs, rows, tested), ["entity", "term"]).groupBy("t1", "t2", "term").agg(F.max("remove").alias("remove"))
+    told = stored(told, "disclosures")
+    general = told.join(subsumers(texts, told, words), "term", "left").select("t1", "t2", "term", F.when(F.col("remove"), "").otherwise(F.col("general")).alias("general"))
+    each = stored(general.groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct("term", "general"))).alias("told")), "told")
+    discard(texts, words, pairs, told)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,general:string>>")
+    marked = F.filter("terms", lambda x: F.map_contains_key(F.col("told"), x["term"]))
+    placed = F.transform(marked, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end"), F.try_element_at(F.col("told"), x["term"]).alias("general")))
+    with_data = found.where(F.size("base") > 0).join(each, ["t1", "t2"], "left").withColumn("terms", F.when(F.col("told").isNull(), none).otherwise(placed)).drop("told")
     return with_data.unionByName(found.where(F.size("base") == 0).withColumn("terms", none).select(with_data.columns))
 
 
@@ -203,14 +224,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     found = sanitisable(docs.select("doc_id", "text")).where(F.size("base") > 0).dropDuplicates(["t1", "t2"])
-    found = stored(found.select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("base").alias("__base"), F.col("terms").alias("__terms")), "masks")
+    a, b, base, terms = free_names(docs.columns, 4)
+    found = stored(found.select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("base").alias(base), F.col("terms").alias(terms)), "masks")
     masks = F.array(*[F.lit(MASKS[k]) for k in PATTERNS])
 
     def replaced(t: Column) -> Column:
         hits = F.sort_array(
             F.concat(
-                F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(masks, x["kind"]).alias("mask"))),
-                F.transform("__terms", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _generalised(F.substring(t, x["start"] + 1, x["end"] - x["start"]), x["disclosure"]).alias("mask"))),
+                F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.get(masks, x["kind"]).alias("mask"))),
+                F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), _generalised(F.substring(t, x["start"] + 1, x["end"] - x["start"]), x["general"]).alias("mask"))),
             )
         )
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -221,13 +243,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(hits, zero, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
 
-    keyed = docs.withColumns({"__t1": F.xxhash64(text), "__t2": F.crc32(text.cast("binary"))}).join(found, ["__t1", "__t2"], "left")
-    return keyed.withColumn("text", F.when(F.col("__base").isNull(), F.col("text")).otherwise(replaced(F.col("text")))).select(*docs.columns)
+    keyed = docs.withColumns({a: F.xxhash64(text), b: F.crc32(text.cast("binary"))}).join(found, [a, b], "left")
+    new = F.when(F.col(base).isNull(), F.col("text")).otherwise(replaced(F.col("text"))).alias("text")
+    return keyed.select(*[new if c == "text" else quoted(c) for c in docs.columns])
 
 
-def _generalised(word: Column, disclosure: Column) -> Column:
-    kind: Callable[[Column], Column] = lambda w: F.when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    return F.when(disclosure >= REMOVE, "").otherwise(kind(word))
+def _generalised(word: Column, general: Column) -> Column:
+    """Nothing, the more general term in the word's case, or the kind of word."""
+    upper = word.rlike(r"^\p{Lu}")
+    return F.when(general.isNull(), F.when(upper, "[NAME]").otherwise("[WORD]")).when(general == "", "").when(upper, F.concat(F.upper(F.substring(general, 1, 1)), F.substring(general, F.lit(2), F.length(general)))).otherwise(general)
 
 
 def op8_privacy(spark, sf_dir: str) -> DataFrame:
