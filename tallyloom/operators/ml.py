@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ..storage import stored
 from .density import NOISE, dense_clusters
 from .hybrid import compatible
+from .layout import laid_out
 from .skipgram import SUBSAMPLE, skip_gram
 
-#: Numbers of k-means groups that are tried, and the floors of clusters by density (fixed values).
-KS, LEAST_SILHOUETTE, LEAST_GROUPS = (25, 50, 75), 0.05, 10
+#: Numbers of k-means groups that are tried, coordinates of the layout, and the floors of clusters by density (fixed values).
+KS, PLACES, LEAST_SILHOUETTE, LEAST_GROUPS = (25, 50, 75), 20, 0.05, 10
 
 
 def features(profile: DataFrame, frequency: DataFrame, items: DataFrame, hybrids: DataFrame, item_colours: DataFrame, leader_colours: DataFrame) -> DataFrame:
@@ -95,15 +96,16 @@ def silhouette(rows: DataFrame) -> float:
 def clusterings(vectors: DataFrame, ks: tuple[int, ...] = KS, variance: float = 0.95, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(item, group, method) of the clustering that is kept, and (method, clusters, silhouette, mean_size, noise, chosen) of all.
 
-    Clusters by density are kept if their silhouette and number reach the floors, else the k-means of best silhouette.
+    Clusters by density are sought in a layout of PLACES coordinates, k-means groups in principal components. The first are kept if their silhouette and number reach the floors, else the k-means of best silhouette.
     A k that is not under the number of vectors is left out; if all are, one group holds all.
     """
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     y = reduced(vectors, variance)
     n = y.count()
-    tried = {"density": y.join(dense_clusters(y.select("item", vector_to_array("r").alias("vec"))).withColumnRenamed("cluster", "group"), "item")}
+    z = laid_out(vectors, PLACES, seed=seed).withColumnRenamed("place", "vec")
+    tried = {"density": z.select("item", array_to_vector("vec").alias("r")).join(dense_clusters(z).withColumnRenamed("cluster", "group"), "item")}
     for k in ks:
         if k < n:
             tried[f"kmeans_{k}"] = KMeans(k=k, seed=seed, featuresCol="r", predictionCol="group").fit(y).transform(y)

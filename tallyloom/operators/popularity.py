@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import Scratch, stored
 
+#: Steps in which co-occurrences are scored, from the items with most of them down.
+STEPS = 4
 #: Names that are no advice, as they are written (fixed values).
 SIX_BASICS = ["Plains", "Island", "Swamp", "Mountain", "Forest", "Wastes"]
 
@@ -48,7 +51,7 @@ def additions_or_fallback(mine: DataFrame, rates: DataFrame, items: DataFrame, k
 def pairwise_support(lists: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """(owner, rank, item, support): the k items of each list (owner, item) least found in one basket with its others; for lists of unknown leaders."""
     own = lists.select("owner", "item").distinct()
-    pairs = cooccurrence(items, own)
+    pairs = cooccurrence(items.join(own.select("item").distinct(), "item", "left_semi"))
     s = own.join(pairs, "item").join(own.select("owner", F.col("item").alias("other")), ["owner", "other"], "left_semi").groupBy("owner", "item").agg(F.sum("n").alias("s"))
     j = own.join(s, ["owner", "item"], "left").select("owner", "item", F.coalesce("s", F.lit(0)).alias("support"))
     return j.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("support", "item"))).where(F.col("rank") <= k)
@@ -63,10 +66,46 @@ def cooccurrence(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame
     return left.join(right, "basket_id").where("item <> other").groupBy("item", "other").agg(F.count("*").alias("n"))
 
 
+def bounded_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (item, other, n) with what a score of `other` can reach: most (the largest n), total (their sum), and the band of the total, floor(log2)."""
+    limits = pairs.groupBy("other").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    return pairs.join(limits.withColumn("band", F.floor(F.log2("total")).cast("int")), "other")
+
+
+def reaching(owned: DataFrame, pairs: DataFrame, floors: DataFrame, bands: list[int]) -> DataFrame:
+    """(owner, other, n) of the pairs of owned items in the bands whose `other` can reach the floor of its owner (owner, least).
+
+    A score is a sum of n over the owned items, so it is at most their number times the largest n, and at most the
+    total. An owner meets only the bands that can hold such items.
+    """
+    own = floors.join(owned.groupBy("owner").agg(F.count("*").alias("items")), "owner")
+    high = F.filter(F.array(*map(F.lit, bands)).cast("array<int>"), lambda b: F.pow(F.lit(2.0), b + 1) > F.col("least"))
+    asked = owned.join(own, "owner").withColumn("band", F.explode(high))
+    can = F.least(F.col("items") * F.col("most"), F.col("total")) >= F.col("least")
+    return asked.join(pairs, ["item", "band"]).where(can).select("owner", "other", "n")
+
+
 def cooccurrence_scores(mine: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
-    """(owner, rank, item, score): the k items not owned with the largest sum of co-occurrences with those owned."""
-    pairs = cooccurrence(items, mine)
+    """(owner, rank, item, score): the k items not owned with the largest sum of co-occurrences with those owned, a stored table.
+
+    Items are told apart by the bands of their totals, and the highest bands are scored first, in STEPS with equal
+    shares of all co-occurrences. The k-th score so far is the floor that an owner's other items must be able to reach
+    to be looked at.
+    """
     owned = mine.select("owner", "item").distinct()
-    s = owned.join(pairs, "item").groupBy("owner", F.col("other").alias("item")).agg(F.sum("n").alias("score")).join(owned, ["owner", "item"], "left_anti")
     rank = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("score"), "item"))
-    return s.withColumn("rank", rank).where(F.col("rank") <= k).select("owner", "rank", "item", "score")
+    with Scratch() as keep:
+        pairs, held = keep(bounded_pairs(cooccurrence(items, mine)), "pairs"), keep(owned, "owned")
+        counts = sorted(((r.band, r.n) for r in pairs.groupBy("band").agg(F.sum("n").alias("n")).collect()), reverse=True)  # 64 at most
+        total, so_far, steps = sum(n for _, n in counts), 0, {}
+        for band, n in counts:
+            steps.setdefault(STEPS * so_far // total, []).append(band)
+            so_far += n
+        owners = held.select("owner").distinct()
+        best = held.select("owner", "item", F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
+        for bands in steps.values():
+            kth = best.where(F.col("rank") == k).select("owner", F.col("score").alias("least"))
+            floors = owners.join(kth, "owner", "left").select("owner", F.coalesce("least", F.lit(0)).alias("least"))
+            scores = reaching(held, pairs, floors, bands).groupBy("owner", F.col("other").alias("item")).agg(F.sum("n").alias("score")).join(held, ["owner", "item"], "left_anti")
+            best = keep(best.drop("rank").unionByName(scores).withColumn("rank", rank).where(F.col("rank") <= k), "best-scores")
+        return stored(best.select("owner", "rank", "item", "score"), "scores")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import advisor, catalogue, density, hybrid, ml, popularity, stats, tags, vectors
+from ..operators import advisor, catalogue, density, hybrid, layout, ml, popularity, stats, tags, vectors
 from ..sources.driver_tables import BASIC, Tables
 from ..storage import stored
 
@@ -164,6 +164,7 @@ QUERIES = {
     "q28_rate_model": _q(_model, True),
     "q30_ranking_metrics": _q(lambda t: ml.ranking_metrics(t.profile(), "rate", "tfidf")),
     "q31_clusters": _q(lambda t: ml.clustered(t.vectors())),
+    "q31_layout": _q(lambda t: layout.laid_out(t.vectors()).select("item", F.get("place", F.lit(0)).alias("x"), F.get("place", F.lit(1)).alias("y"))),
     "q32_methods": _q(lambda t: ml.clusterings(t.vectors())[1]),
     "q32_dense_clusters": _q(lambda t: density.dense_clusters(t.vectors())),
     "m1_upsert": _q(_upsert),
