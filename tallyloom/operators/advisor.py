@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-KINDS = ["LARGE", "MEDIUM", "SMALL", "STANDARD", "PROMO", "ECONOMY"]
+from ..storage import stored
+from .grams import built
+from .ranks import ranked
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -107,7 +109,7 @@ def deck_list(configured: DataFrame, local: DataFrame) -> DataFrame:
     key = F.lower("name")
     fresh = local.withColumn("k", key).join(configured.select(key.alias("k")).distinct(), "k", "left_anti").select("name", F.lit("local").alias("source"))
     both = configured.select("name", F.lit("configured").alias("source")).unionByName(fresh)
-    return both.withColumn("rank", F.row_number().over(W.orderBy(F.lower("name"), "name", "source")))
+    return ranked(both.withColumn("low", key), ["low", "name", "source"]).select("rank", "name", "source")
 
 
 def allowed_leaders(first: DataFrame, second: DataFrame, key) -> DataFrame:
@@ -126,15 +128,23 @@ def partner_rates(names: DataFrame, totals: DataFrame) -> DataFrame:
 def matched_files(names: DataFrame, stems: DataFrame) -> DataFrame:
     """(name, stem, pass): the file of each name: its stem holds the name; else all words of four letters or more; else the first of these.
 
-    Of several files of a pass the first by stem. Both lists are short: they are joined on the longest way, name by file.
+    Of several files of a pass the first by stem; an empty name is held by all. Names and words find their stems by an index of
+    the stems' grams, each distinct one once; a stem that holds all words holds the first.
     """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " ")
     words = F.filter(F.split("n", " +"), lambda w: F.length(w) >= 4)
-    n = names.select("name", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9 ]", " ")).alias("n")).withColumn("w", words)
-    f = stems.select("stem", F.regexp_replace(F.lower("stem"), "[^a-z0-9 ]", " ").alias("f"))
-    some = F.size("w") > 0
-    way = F.when(F.contains("f", "n"), 1).when(some & F.forall("w", lambda w: F.contains(F.col("f"), w)), 2).when(some & F.contains(F.col("f"), F.get("w", 0)), 3)
-    j = n.join(F.broadcast(f), F.lit(True)).withColumn("pass", way).where("pass IS NOT NULL")
-    return j.groupBy("name").agg(F.min(F.struct("pass", "stem")).alias("x")).select("name", "x.stem", "x.pass")
+    n = names.select("name", F.trim(plain("name")).alias("n")).distinct().withColumn("w", words).withColumn("first", F.get("w", 0))
+    index = built(stems.select(F.col("stem").alias("item"), plain("stem").alias("name")))
+    asked = n.select(F.col("n").alias("text")).unionByName(n.select(F.col("first").alias("text")))
+    found = stored(index.holding(asked).select("text", F.col("item").alias("stem"), F.col("name").alias("f")), "stems-of-texts")
+    first = lambda rows, keys: rows.groupBy(*keys).agg(F.min("stem").alias("stem"))
+    whole = first(found.withColumnRenamed("text", "n"), ["n"]).withColumn("pass", F.lit(1))
+    any_ = stems.agg(F.min("stem").alias("stem")).where("stem IS NOT NULL").select(F.lit("").alias("n"), "stem", F.lit(1).alias("pass"))
+    all_words = n.where(F.size("w") > 0).select("w", "first").distinct().join(found.withColumnRenamed("text", "first"), "first").where(F.forall("w", lambda w: F.contains(F.col("f"), w)))
+    ways = n.join(whole.unionByName(any_), "n").select("name", "pass", "stem")
+    ways = ways.unionByName(n.join(first(all_words, ["w"]), "w").select("name", F.lit(2).alias("pass"), "stem"))
+    ways = ways.unionByName(n.join(first(found.withColumnRenamed("text", "first"), ["first"]), "first").select("name", F.lit(3).alias("pass"), "stem"))
+    return ways.groupBy("name").agg(F.min(F.struct("pass", "stem")).alias("x")).select("name", "x.stem", "x.pass")
 
 
 def first_type(line, types: list[str]):

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import advisor, catalogue, clusters, hybrid, index, insight, ml, popularity, shapley, stats, tags
+from ..operators import advisor, catalogue, clusters, grams, hybrid, index, insight, ml, popularity, shapley, stats, tags
 from ..sources.driver_tables import BASIC
 from ..storage import stored
+from .queries import SQL as _FIRST
 from .queries import _DECKS, _SCORED, FEATURES, Derived, _features, _q, _sql, _trained
 
 #: Tags that name a family of clusters, types in the order in which they are looked for, reference names, and rows whose
@@ -112,6 +113,11 @@ def _asked_vectors(t: Derived):
     return t.vectors().where("item % 50 = 0")
 
 
+def _indexed_autocomplete(t: Derived):
+    index = grams.built(t.items().select("item", "name"))
+    return catalogue.autocomplete([index.starting("s"), index.containing(" s")], 8)
+
+
 def _runs(t: Derived):
     return t.read("orders").select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
 
@@ -136,6 +142,8 @@ QUERIES = {
     "q09_kinds_of_decks": _q(lambda t: advisor.deck_means_of_kind(t.lines(), t.items(), t.baskets())),
     "q09_mean_cost_of_decks": _q(lambda t: advisor.mean_cost_of_decks(t.lines(), t.items(), t.baskets(), BASIC)),
     "q13_rate_lookup": _q(lambda t: advisor.rate_of(t.decks(), t.rates())),
+    "q14_indexed_search": _q(lambda t: catalogue.indexed_search(grams.built(t.items().select("item", "name")), t.items(), t.printings(), "red", 100)),
+    "q15_indexed_autocomplete": _q(_indexed_autocomplete),
     "q14_search_images": _q(lambda t: catalogue.searched(t.items(), t.printings(), "%BLUE%", 100)),
     "q19_decks_with": _q(lambda t: advisor.decks_with(t.decks())),
     "q21_deck_list": _q(lambda t: advisor.deck_list(t.nations().where("region = 2").select("name"), t.nations().select(F.lower("name").alias("name")))),
@@ -270,4 +278,6 @@ SQL = {
     "v6_references": _more("SELECT w.name, p.item, day, price, p.item IS NOT NULL AS ok FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in REFERENCES) + "]) AS name) w LEFT JOIN (SELECT p_name AS name, min(p_partkey) AS item FROM part GROUP BY 1) p ON w.name = p.name LEFT JOIN (SELECT item, max(day) AS day, first(price ORDER BY day DESC, price DESC) AS price FROM printings GROUP BY item) l ON p.item = l.item"),
     "v7_tag_inventory": _more("SELECT row_number() OVER (ORDER BY items DESC, tag) AS rank, tag, items, round(CAST((SELECT count(DISTINCT item) FROM tags)::DOUBLE / (SELECT count(*) FROM part) AS DECIMAL(20,8)), 4)::DOUBLE AS coverage FROM (SELECT tag, count(DISTINCT item) AS items FROM tags GROUP BY tag) ORDER BY rank LIMIT 20"),
     "v8_empty_counts": "SELECT unnest([" + ", ".join(f"'{x}'" for x in (*FEATURES, "label")) + "]) AS feature, 0::BIGINT AS empty",
+    "q14_indexed_search": _FIRST["q14_search"],
+    "q15_indexed_autocomplete": _FIRST["q15_autocomplete"],
 }

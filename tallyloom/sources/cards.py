@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import popularity_key
+from .arrays import array_objects
 from .lists import collection, corpus, decoded, parsed_line
 
 #: The fields of a card object that rows are made of.
@@ -19,9 +20,19 @@ PRICES = [("eur", "eur", "regular"), ("eur_foil", "eur", "foil"), ("usd", "usd",
 
 
 def bulk_cards(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Card objects of a JSON array, or of JSON lines, which splits. Objects that don't parse, or without id, go."""
-    reader = spark.read.schema(CARD).option("mode", "PERMISSIVE").option("multiLine", multi_line)
-    return reader.json(path).where("id IS NOT NULL")
+    """Card objects of JSON arrays (several tasks read one), or of JSON lines, and `at`, their order in the files. Objects that don't parse, or without id, go."""
+    if multi_line:
+        texts = array_objects(spark, path).select(F.struct("file", F.lit(0).cast("long").alias("block"), F.col("number").alias("i")).alias("at"), "value")
+    else:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+        texts = spark.read.text(path).select(place.alias("at"), "value")
+    return texts.select("at", F.from_json("value", CARD).alias("x")).select("at", "x.*").where("id IS NOT NULL")
+
+
+def last_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key that stands last in the files (`at`)."""
+    rest = [c for c in rows.columns if c not in (*keys, "at")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "at").alias("x")).select(*keys, "x.*")
 
 
 def _text(c: str) -> Column:
@@ -29,34 +40,36 @@ def _text(c: str) -> Column:
 
 
 def card_rows(cards: DataFrame) -> DataFrame:
-    """One row for each card (oracle_id, else id): name, key, cost and line (its own, else its first face's), colours, legality, flags."""
+    """One row for each card (oracle_id, else id), of its last object: name, key, cost and line (its own, else its first face's), colours, legality, flags."""
     face = F.get("card_faces", 0)
     key = F.coalesce("oracle_id", "id")
     rows = cards.select(
-        key.alias("card"), "name", F.lower(F.trim("name")).alias("key"), F.coalesce("mana_cost", face["mana_cost"]).alias("mana_cost"), F.coalesce("cmc", F.lit(0.0)).alias("cost"),
+        "at", key.alias("card"), "name", F.lower(F.trim("name")).alias("key"), F.coalesce("mana_cost", face["mana_cost"]).alias("mana_cost"), F.coalesce("cmc", F.lit(0.0)).alias("cost"),
         F.coalesce("type_line", face["type_line"]).alias("line"), F.coalesce("oracle_text", face["oracle_text"]).alias("text"), _text("power"), _text("toughness"), _text("loyalty"), _text("defense"),
         F.coalesce("colors", F.array().cast("array<string>")).alias("colours"), F.coalesce("color_identity", F.array().cast("array<string>")).alias("identity"), F.to_json("keywords").alias("keywords"),
         F.coalesce(F.try_element_at("legalities", F.lit("commander")) == "legal", F.lit(False)).alias("legal"), F.coalesce("reserved", F.lit(False)).alias("reserved"), F.coalesce("game_changer", F.lit(False)).alias("game_changer"),
     )
-    return rows.groupBy("card").agg(*[F.first(c).alias(c) for c in rows.columns if c != "card"])
+    return last_of(rows, ["card"])
 
 
 def face_rows(cards: DataFrame) -> DataFrame:
-    """(card, face, name, mana_cost, line, text, image) of cards with faces; an empty cost is null."""
-    each = cards.select(F.coalesce("oracle_id", "id").alias("card"), F.posexplode("card_faces").alias("face", "f"))
-    return each.select("card", "face", "f.name", F.nullif("f.mana_cost", F.lit("")).alias("mana_cost"), F.col("f.type_line").alias("line"), F.col("f.oracle_text").alias("text"), F.try_element_at("f.image_uris", F.lit("normal")).alias("image")).dropDuplicates(["card", "face"])
+    """(card, face, name, mana_cost, line, text, image) of the last object of each card with faces; an empty cost is null."""
+    last = last_of(cards.where("card_faces IS NOT NULL").select("at", F.coalesce("oracle_id", "id").alias("card"), "card_faces"), ["card"])
+    each = last.select("card", F.posexplode("card_faces").alias("face", "f"))
+    return each.select("card", "face", "f.name", F.nullif("f.mana_cost", F.lit("")).alias("mana_cost"), F.col("f.type_line").alias("line"), F.col("f.oracle_text").alias("text"), F.try_element_at("f.image_uris", F.lit("normal")).alias("image"))
 
 
 def printing_rows(cards: DataFrame) -> DataFrame:
     """(printing, card, set, number, lang, rarity, day, digital, image): the image is the card's, else its first face's; a bad date is null."""
     image = F.coalesce(F.try_element_at("image_uris", F.lit("normal")), F.try_element_at(F.get("card_faces", 0)["image_uris"], F.lit("normal")))
-    return cards.select(F.col("id").alias("printing"), F.coalesce("oracle_id", "id").alias("card"), "set", F.col("collector_number").alias("number"), F.coalesce("lang", F.lit("en")).alias("lang"), "rarity", F.expr("try_cast(released_at AS date)").alias("day"), F.coalesce("digital", F.lit(False)).alias("digital"), image.alias("image"))
+    rows = cards.select("at", F.col("id").alias("printing"), F.coalesce("oracle_id", "id").alias("card"), "set", F.col("collector_number").alias("number"), F.coalesce("lang", F.lit("en")).alias("lang"), "rarity", F.expr("try_cast(released_at AS date)").alias("day"), F.coalesce("digital", F.lit(False)).alias("digital"), image.alias("image"))
+    return last_of(rows, ["printing"])
 
 
 def price_rows(cards: DataFrame) -> DataFrame:
     """(printing, currency, kind, price) of the prices that parse."""
     each = F.array(*[F.struct(F.lit(c).alias("currency"), F.lit(k).alias("kind"), F.try_element_at("prices", F.lit(n)).alias("p")) for n, c, k in PRICES])
-    rows = cards.select(F.col("id").alias("printing"), F.explode(each).alias("x"))
+    rows = last_of(cards.select("at", F.col("id").alias("printing"), "prices"), ["printing"]).select("printing", F.explode(each).alias("x"))
     return rows.select("printing", "x.currency", "x.kind", F.col("x.p").try_cast("decimal(10,2)").alias("price")).where("price IS NOT NULL")
 
 

@@ -24,7 +24,7 @@ def test_card_objects(spark, tmp_path):
     c = cards.bulk_cards(spark, str(tmp_path / "bulk.json"))
     assert c.count() == 3 == cards.bulk_cards(spark, str(tmp_path / "lines.json"), multi_line=False).count()
     rows = {r.card: r for r in cards.card_rows(c).collect()}
-    assert set(rows) == {"o1", "o2"} and rows["o1"].legal and not rows["o2"].legal and rows["o2"].mana_cost == "{W}" and rows["o1"].power is None
+    assert set(rows) == {"o1", "o2"} and not rows["o1"].legal and not rows["o2"].legal and rows["o2"].mana_cost == "{W}" and rows["o1"].power is None
     faces = cards.face_rows(c)
     assert sorted((r.face, r.name, r.mana_cost) for r in faces.collect()) == [(0, "Day", "{W}"), (1, "Night", None)]
     assert {(r.printing, r.day, r.image) for r in cards.printing_rows(c).collect()} == {("p1", date(2020, 1, 2), "u1"), ("p2", None, None), ("p3", date(2019, 5, 5), "u3")}
