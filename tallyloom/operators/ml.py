@@ -10,6 +10,7 @@ from ..storage import stored
 from .density import NOISE, dense_clusters
 from .hybrid import compatible
 from .layout import laid_out
+from .ranks import quantiles
 from .skipgram import SUBSAMPLE, skip_gram
 
 #: Numbers of k-means groups that are tried, coordinates of the layout, and the floors of clusters by density (fixed values).
@@ -129,7 +130,9 @@ def clustered(vectors: DataFrame, ks: tuple[int, ...] = KS, variance: float = 0.
 def described(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, mean, median, std, least, most, q1, q3) of a value: sample deviation, linear quantiles, 6 places."""
     r = lambda c, name: F.round(c, 6).alias(name)
-    return rows.groupBy(key).agg(F.count(value).alias("n"), r(F.avg(value), "mean"), r(F.median(value), "median"), r(F.stddev_samp(value), "std"), F.min(value).alias("least"), F.max(value).alias("most"), r(F.percentile(value, F.lit(0.25)), "q1"), r(F.percentile(value, F.lit(0.75)), "q3"))
+    sums = rows.groupBy(key).agg(F.count(value).alias("n"), r(F.avg(value), "mean"), r(F.stddev_samp(value), "std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = quantiles(rows, [key], value, [0.5, 0.25, 0.75]).select(F.col(key).alias("same"), *[r(F.get("quantiles", F.lit(i)), n) for i, n in enumerate(("median", "q1", "q3"))])
+    return sums.join(q, F.col(key).eqNullSafe(F.col("same")), "left").select(key, "n", "mean", "median", "std", "least", "most", "q1", "q3")
 
 
 def empty_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -152,6 +155,6 @@ def error_scales(guess: DataFrame) -> DataFrame:
 
 def errors_by_tercile(guess: DataFrame, by: str) -> DataFrame:
     """(tercile, n, mae): the error where a feature is in its lowest third, between, and in its highest (percentiles 33 and 66)."""
-    cut = guess.agg(F.percentile(by, F.lit(0.33)).alias("a"), F.percentile(by, F.lit(0.66)).alias("b"))
+    cut = quantiles(guess, [], by, [0.33, 0.66]).select(F.get("quantiles", F.lit(0)).alias("a"), F.get("quantiles", F.lit(1)).alias("b"))
     third = F.when(F.col(by) <= F.col("a"), "low").when(F.col(by) <= F.col("b"), "middle").otherwise("high")
     return guess.crossJoin(F.broadcast(cut)).groupBy(third.alias("tercile")).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("label") - F.col("prediction"))), 6).alias("mae"))
