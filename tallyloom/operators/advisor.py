@@ -10,6 +10,9 @@ from ..storage import stored
 from .grams import built
 from .ranks import ranked
 
+#: Leaders of a row of rates.
+SLOTS = 8
+
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
     """The first k rows in that order, with their rank. Rows are cut before they meet in one task."""
@@ -62,6 +65,23 @@ def composition(decks: DataFrame, lines: DataFrame, items: DataFrame, baskets: D
     return mean.join(own, ["leader", "kind"], "full").select("leader", "kind", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("corpus_mean", F.lit(0.0)).alias("corpus_mean"))
 
 
+def composition_by_type(decks: DataFrame, lines: DataFrame, baskets: DataFrame, named: DataFrame, types: DataFrame, lands: DataFrame, land: str) -> DataFrame:
+    """(leader, type, own, corpus_mean, mean_cost): copies of each type in the deck, on the mean of the leader's baskets, and the deck's mean cost without lands.
+
+    named: (item, name); types: (name, type, cost) of known names; lands: (name) of cards with a face that is a land, which count
+    as one whatever their type. Items of unknown type count nowhere.
+    """
+    over = lands.select("name").distinct().withColumn("is_land", F.lit(True))
+    known = named.join(types, "name", "left").join(over, "name", "left")
+    typed = known.select("item", F.when(F.col("is_land"), F.lit(land)).otherwise(F.col("type")).alias("type"), F.when(F.col("is_land").isNull() & (F.col("type") != land), F.col("cost")).alias("cost")).where("type IS NOT NULL")
+    own = decks.join(typed, "item").groupBy("leader", "type").agg(F.sum("qty").alias("own"))
+    total = baskets.groupBy("leader").agg(F.count("*").alias("total"))
+    mean = lines.join(typed, "item").groupBy("leader", "type").agg(F.sum("qty").alias("s")).join(total, "leader").select("leader", "type", F.round((F.col("s") / F.col("total")).cast("decimal(20,8)"), 1).cast("double").alias("corpus_mean"))
+    costs = mean_cost(decks, typed.where("cost IS NOT NULL").select("item", "cost", F.lit("").alias("kind")), land)
+    both = mean.join(own, ["leader", "type"], "full").join(costs, "leader", "left")
+    return both.select("leader", "type", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("corpus_mean", F.lit(0.0)).alias("corpus_mean"), "mean_cost")
+
+
 def mean_cost(decks: DataFrame, items: DataFrame, basic: str) -> DataFrame:
     """(leader, mean_cost): weighted by copies, without basics."""
     j = decks.join(items.where(F.col("kind") != basic), "item")
@@ -76,10 +96,21 @@ def leader_suggestions(rates: DataFrame, decks: DataFrame, k: int = 3) -> DataFr
 
 
 def detected_leader(cards: DataFrame, rates: DataFrame) -> DataFrame:
-    """(basket_id, leader, score, matched): the leader with the best mean rate over the basket's known items, then most matches."""
-    s = cards.join(rates.select(F.col("leader").alias("guess"), "item", "rate"), "item").groupBy("basket_id", "guess").agg(F.round((F.sum(F.col("rate").cast("decimal(12,4)")).cast("double") / F.count("*")).cast("decimal(20,8)"), 2).cast("double").alias("score"), F.count("*").alias("matched"))
-    r = F.row_number().over(W.partitionBy("basket_id").orderBy(F.desc("score"), F.desc("matched"), "guess"))
-    return s.withColumn("r", r).where("r = 1").select("basket_id", F.col("guess").alias("leader"), "score", "matched")
+    """(basket_id, leader, score, matched): the leader with the best mean rate over the basket's known items, then most matches.
+
+    Rates lie in rows of SLOTS leaders an item, so that a basket's item meets one row for all of these.
+    """
+    leaders = ranked(rates.select("leader").distinct(), ["leader"]).select("leader", F.floor((F.col("rank") - 1) / SLOTS).alias("row"), ((F.col("rank") - 1) % SLOTS).alias("slot"))
+    slots = [f"s{i}" for i in range(SLOTS)]
+    # whole numbers of ten-thousandths, so that sums have no last bit to differ in
+    rate = F.round(F.col("rate") * 10_000).cast("long")
+    wide = rates.join(leaders, "leader").groupBy("item", "row").agg(*[F.max(F.when(F.col("slot") == i, rate)).alias(c) for i, c in enumerate(slots)])
+    sums = cards.select("basket_id", "item").join(wide, "item").groupBy("basket_id", "row").agg(*[F.sum(c).alias(c) for c in slots], *[F.count(c).alias(f"n{c}") for c in slots])
+    score = lambda c: F.round((F.col(c) / 10_000 / F.col(f"n{c}")).cast("decimal(20,8)"), 2).cast("double")
+    best = F.array_max(F.array(*[F.when(F.col(f"n{c}") > 0, F.struct(score(c).alias("score"), F.col(f"n{c}").alias("matched"), F.lit(-i).alias("slot"))) for i, c in enumerate(slots)]))
+    rows = sums.select("basket_id", F.struct(best["score"].alias("score"), best["matched"].alias("matched"), (-F.col("row")).alias("row"), best["slot"].alias("slot")).alias("x")).groupBy("basket_id").agg(F.max("x").alias("x"))
+    named = rows.select("basket_id", "x.score", "x.matched", (-F.col("x.row")).alias("row"), (-F.col("x.slot")).cast("long").alias("slot")).join(leaders, ["row", "slot"])
+    return named.select("basket_id", "leader", "score", "matched")
 
 
 def not_found(cards: DataFrame, rates: DataFrame) -> DataFrame:

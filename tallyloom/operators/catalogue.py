@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .advisor import shortened
 from .grams import NameIndex
 
 
@@ -139,6 +140,46 @@ def searched(items: DataFrame, printings: DataFrame, pattern: str, k: int) -> Da
     return found.join(dear, "item", "left").join(first, "item", "left").join(least, "item", "left").select("item", "name", "cost", F.coalesce("dear", "first").alias("image"), "price")
 
 
+def search_printings(items: DataFrame, editions: DataFrame, prices: DataFrame, pattern: str, currency: str, k: int) -> DataFrame:
+    """(item, name, cost, text, image, uri, price) of items (item, name, cost, text) like the pattern: the dearest printing's picture, else the first's; the least price.
+
+    editions: (edition, item, image, uri); prices: (edition, currency, price) of all days. Four left joins: the dearest
+    printing, the first, that one's own row, and the least price.
+    """
+    order = [F.asc_nulls_last("cost"), F.asc("name"), F.asc("item")]
+    found = items.where(F.col("name").ilike(pattern)).orderBy(*order).limit(k).select("item", "name", "cost", shortened(F.col("text")).alias("text"))
+    own = editions.join(F.broadcast(found.select("item")), "item", "left_semi")  # k items at most
+    priced = own.join(prices.where((F.col("currency") == currency) & (F.col("price") > 0)).select("edition", "price"), "edition")
+    dear = priced.groupBy("item").agg(F.min_by(F.struct("image", "uri"), F.struct(-F.col("price"), "edition")).alias("dear"))
+    first = own.groupBy("item").agg(F.min("edition").alias("edition"))
+    fallback = own.select("edition", F.struct("image", "uri").alias("other"))
+    least = priced.groupBy("item").agg(F.min("price").alias("price"))
+    all_ = found.join(dear, "item", "left").join(first, "item", "left").join(fallback, "edition", "left").join(least, "item", "left")
+    return all_.select("item", "name", "cost", "text", F.coalesce("dear.image", "other.image").alias("image"), F.coalesce("dear.uri", "other.uri").alias("uri"), "price")
+
+
+def translated_autocomplete(items: DataFrame, editions: DataFrame, start: str, k: int) -> DataFrame:
+    """(name): names that start with a text, then names of items one of whose printed names does; each by cost (null last), name."""
+    like = lambda c: F.lower(c).startswith(start.lower())
+    order = [F.asc_nulls_last("cost"), F.asc("name")]
+    part = lambda rows, b: rows.groupBy("name").agg(F.min("cost").alias("cost")).orderBy(*order).limit(k).withColumn("b", F.lit(b))
+    foreign = editions.where(F.col("printed_name").isNotNull() & like(F.col("printed_name"))).select("item").distinct()
+    both = part(items.where(like(F.col("name"))), 0).unionByName(part(items.join(foreign, "item", "left_semi"), 1))
+    return both.groupBy("name").agg(F.min("b").alias("b"), F.min("cost").alias("cost")).orderBy("b", *order).limit(k).select("name")
+
+
+def price_by_name(items: DataFrame, editions: DataFrame, prices: DataFrame, currency: str) -> DataFrame:
+    """(name, price): the least positive price over all printings of the items of a name, whatever its case."""
+    rows = prices.where((F.col("currency") == currency) & (F.col("price") > 0)).join(editions.select("edition", "item"), "edition").join(items.select("item", F.lower("name").alias("name")), "item")
+    return rows.groupBy("name").agg(F.min("price").alias("price"))
+
+
+def image_by_name(items: DataFrame, editions: DataFrame, lang: str) -> DataFrame:
+    """(name, image): the picture of the first printing in a language that has one, of the items of a name."""
+    rows = editions.where((F.col("lang") == lang) & F.col("image").isNotNull()).join(items.select("item", F.lower("name").alias("name")), "item")
+    return rows.groupBy("name").agg(F.min_by("image", "edition").alias("image"))
+
+
 def recently_changed(files: DataFrame, since: DataFrame) -> DataFrame:
     """(name, sync): whether a file (name, changed) is newer than its last sync (name, synced); files without one are."""
     j = files.join(since, "name", "left")

@@ -27,7 +27,9 @@ def tag_scores(pairs: DataFrame, item_tags: DataFrame, given: DataFrame, weights
     """(leader, item, tag_score): sum over tags and clusters of P(cluster | tag) * weight, by the number of all tags, at most 1."""
     t = item_tags.select("item", "tag")
     n = t.groupBy("item").agg(F.count("*").alias("tags"))
-    s = pairs.select("leader", "item").join(t, "item").join(given, "tag").join(weights.select("leader", "cluster", "weight"), ["leader", "cluster"]).groupBy("leader", "item").agg(F.sum(F.col("p") * F.col("weight")).alias("s"))
+    # what a tag is worth to a leader, before any item
+    worth = given.join(weights.select("leader", "cluster", "weight"), "cluster").groupBy("leader", "tag").agg(F.sum(F.col("p") * F.col("weight")).alias("s"))
+    s = pairs.select("leader", "item").join(t, "item").join(worth, ["leader", "tag"]).groupBy("leader", "item").agg(F.sum("s").alias("s"))
     return s.join(n, "item").select("leader", "item", F.least(F.col("s") / F.col("tags"), F.lit(1.0)).alias("tag_score"))
 
 
@@ -111,7 +113,7 @@ def additions(hybrids: DataFrame, rates: DataFrame, gap: DataFrame, vectors: Dat
 
 
 def cuts(hybrids: DataFrame, gap: DataFrame, vectors: DataFrame, decks: DataFrame, rates: DataFrame, protected: DataFrame, k: int = 30) -> DataFrame:
-    """(leader, rank, item, score, reasons): deck items that fit least, less the protected ones (item); reasons: array of texts."""
+    """(leader, rank, item, score, reasons): deck items that fit least, less the protected ones (item); reasons: array of texts, by thresholds (fixed values)."""
     own = decks.select("leader", "item").join(protected.select("item"), "item", "left_anti")
     j = hybrids.join(own, ["leader", "item"]).join(vectors.select("item", "cluster"), "item", "left").join(gap.select("leader", "cluster", "meta"), ["leader", "cluster"], "left")
     j = j.join(deck_cosines(own, decks, vectors), ["leader", "item"], "left").join(rates.select("leader", "item", "rate"), ["leader", "item"], "left")

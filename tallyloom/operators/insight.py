@@ -27,7 +27,7 @@ def unseen_items(prediction: DataFrame, weights: DataFrame, clusters: DataFrame,
 
 
 def explanations(hybrids: DataFrame, rates: DataFrame) -> DataFrame:
-    """(leader, item, hybrid, rate, reasons, caveats): what speaks for an item, and against, by thresholds of its scores; joined by |."""
+    """(leader, item, hybrid, rate, reasons, caveats): what speaks for an item, and against, by thresholds of its scores (fixed values); joined by |."""
     j = hybrids.join(rates.select("leader", "item", "rate"), ["leader", "item"], "left")
     t, c, w, g = (F.col(x) for x in ("tfidf_norm", "cosine", "weight", "tag_score"))
     reasons = F.array(

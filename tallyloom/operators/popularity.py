@@ -48,13 +48,28 @@ def additions_or_fallback(mine: DataFrame, rates: DataFrame, items: DataFrame, k
     return own.join(known, "owner", "left_semi").where(F.col("rank") <= k).withColumn("way", F.lit("leader")).unionByName(cooccurrence_scores(rest, items, k).withColumn("way", F.lit("together")))
 
 
-def pairwise_support(lists: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
-    """(owner, rank, item, support): the k items of each list (owner, item) least found in one basket with its others; for lists of unknown leaders."""
+def pairwise_support(lists: DataFrame, items: DataFrame, k: int | None = 20) -> DataFrame:
+    """(owner, rank, item, support): the k items (None: all) of each list (owner, item) least found in one basket with its others; for lists of unknown leaders."""
     own = lists.select("owner", "item").distinct()
     pairs = cooccurrence(items.join(own.select("item").distinct(), "item", "left_semi"))
     s = own.join(pairs, "item").join(own.select("owner", F.col("item").alias("other")), ["owner", "other"], "left_semi").groupBy("owner", "item").agg(F.sum("n").alias("s"))
     j = own.join(s, ["owner", "item"], "left").select("owner", "item", F.coalesce("s", F.lit(0)).alias("support"))
-    return j.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("support", "item"))).where(F.col("rank") <= k)
+    ranked = j.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("support", "item")))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def removals_or_support(mine: DataFrame, rates: DataFrame, frequency: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
+    """(owner, rank, item, support, frequency, way): as removals; for owners of leaders without rates, by how often an item stands in one basket with the owner's others.
+
+    mine: (owner, leader, item); an item that is its owner's leader, and the six basics, are never removed where items are names.
+    """
+    known = mine.join(rates.select("leader").distinct(), "leader", "left_semi")
+    unknown = mine.join(rates.select("leader").distinct(), "leader", "left_anti")
+    support = pairwise_support(unknown, items, None).drop("rank").join(frequency.select("item", F.col("n").alias("frequency")), "item", "left")
+    support = support.select("owner", "item", "support", F.coalesce("frequency", F.lit(0)).alias("frequency"), F.lit("together").alias("way"))
+    rank = F.row_number().over(W.partitionBy("owner").orderBy("support", "frequency", "item"))
+    together = support.withColumn("rank", rank).where(F.col("rank") <= k)
+    return removals(known, rates, frequency, k).withColumn("way", F.lit("leader")).unionByName(together)
 
 
 def cooccurrence(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -82,7 +97,10 @@ def reaching(owned: DataFrame, pairs: DataFrame, floors: DataFrame, bands: list[
     high = F.filter(F.array(*map(F.lit, bands)).cast("array<int>"), lambda b: F.pow(F.lit(2.0), b + 1) > F.col("least"))
     asked = owned.join(own, "owner").withColumn("band", F.explode(high))
     can = F.least(F.col("items") * F.col("most"), F.col("total")) >= F.col("least")
-    return asked.join(pairs, ["item", "band"]).where(can).select("owner", "other", "n")
+    # both sides are small, but what they make is not: as many tasks as shuffles have, whatever the sizes
+    n = int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(n, "item", "band")
+    return dealt(asked).join(dealt(pairs.where(F.col("band").isin(bands))), ["item", "band"]).where(can).select("owner", "other", "n")
 
 
 def cooccurrence_scores(mine: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:

@@ -92,9 +92,24 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 20) -> DataFrame
 
 
 def weighted_means(rows: DataFrame, key: str) -> DataFrame:
-    """(key, i, value): component i of sum(w * v) / sum(w) over rows (key, vec, w); 0 where the weights sum to 0."""
-    each = rows.select(key, "w", F.posexplode("vec").alias("i", "x"))
-    return each.groupBy(key, "i").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("w")).select(key, "i", F.when(F.col("w") != 0, F.col("s") / F.when(F.col("w") != 0, F.col("w")).otherwise(1.0)).otherwise(0.0).alias("value"))
+    """(key, i, value): component i of sum(w * v) / sum(w) over rows (key, vec, w); 0 where the weights sum to 0. Vectors are added up by batch before they are dealt by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.table({"key": b.column(key), "w": b.column("w"), "vec": b.column("vec")}).filter(b.column("vec").is_valid())
+            if not len(t):
+                continue
+            v, w = matrix(t.column("vec")), t.column("w").to_numpy().astype(np.float64)
+            coded = t.column("key").combine_chunks().dictionary_encode(null_encoding="encode")
+            at, width = coded.indices.to_numpy(), v.shape[1]
+            total, weight = np.zeros((len(coded.dictionary), width)), np.bincount(at, w, len(coded.dictionary))
+            np.add.at(total, at, v * w[:, None])
+            n = len(total)
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(np.repeat(np.arange(n), width))), pa.array(np.tile(np.arange(width, dtype=np.int32), n)), pa.array(total.ravel()), pa.array(np.repeat(weight, width))], ["key", "i", "s", "w"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    sums = rows.select(key, F.col("w").cast("double").alias("w"), "vec").mapInArrow(run, f"key {kind}, i int, s double, w double").groupBy("key", "i").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    return sums.select(F.col("key").alias(key), "i", F.when(F.col("w") != 0, F.col("s") / F.when(F.col("w") != 0, F.col("w")).otherwise(1.0)).otherwise(0.0).alias("value"))
 
 
 def as_vectors(components: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of the library, and DuckDB SQL for those that SQL can express."""
 
-from . import more, queries
+from . import more, queries, wired
 
-QUERIES = {**queries.QUERIES, **more.QUERIES}
-SQL = {**queries.SQL, **more.SQL}
+QUERIES = {**queries.QUERIES, **more.QUERIES, **wired.QUERIES}
+SQL = {**queries.SQL, **more.SQL, **wired.SQL}

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators import advisor, catalogue, clusters, grams, hybrid, index, insight, ml, popularity, shapley, stats, tags
 from ..sources.driver_tables import BASIC
-from ..storage import stored
 from .queries import SQL as _FIRST
 from .queries import _DECKS, _SCORED, FEATURES, Derived, _features, _q, _sql, _trained
 
@@ -86,7 +85,7 @@ def _importance(t: Derived):
 
 def _two_models(t: Derived):
     """name: (model, predictions, features) of the model without the cosine and of that with it."""
-    rows = stored(_features(t), "features")
+    rows = t.stored(_features(t), "features")
     split = ml.held_out(rows, "leader")
     return {name: (*ml.rate_model(rows, split, columns), columns) for name, columns in (("baseline", FEATURES[1:]), ("full", FEATURES))}
 

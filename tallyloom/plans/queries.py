@@ -9,22 +9,29 @@ from pyspark.sql import functions as F
 
 from ..operators import advisor, catalogue, density, hybrid, layout, ml, popularity, stats, tags, vectors
 from ..sources.driver_tables import BASIC, Tables
-from ..storage import stored
+from ..storage import Scratch, stored
+
+
+#: What is large, and read often where it is read at all.
+LARGE = {"rates", "profile"}
 
 
 class Derived(Tables):
-    """Canonical tables and what is derived from them. If kept, each is stored once for a query that reads it often."""
+    """Canonical tables and what is derived from them. With `keep`, the large ones that are read often are stored once."""
 
-    def __init__(self, spark: SparkSession, folder: str, kept: bool = False):
+    def __init__(self, spark: SparkSession, folder: str, keep: Scratch | None = None):
         super().__init__(spark, folder)
         self.made: dict[str, DataFrame] = {}
-        self.kept = kept
+        self.keep = keep
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self.made:
-            self.made[name] = stored(make(), name) if self.kept else make()
+            self.made[name] = self.keep(make(), name) if self.keep and name in LARGE else make()
         return self.made[name]
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return self.keep(df, name) if self.keep else stored(df, name)
+
     def basket_items(self) -> DataFrame:
         return self.once("basket_items", super().basket_items)
 
@@ -75,8 +82,14 @@ class Derived(Tables):
 
 
 def _q(f: Callable[[Derived], DataFrame], kept: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    """f on the tables of a folder; if kept, large derived tables are stored while it runs, and its result is."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(Derived(spark, sf_dir, kept))
+        if kept:
+            with Scratch() as keep:
+                out = stored(f(Derived(spark, sf_dir, keep)), "result")
+        else:
+            out = f(Derived(spark, sf_dir))
         return out.withColumn("rank", F.col("rank").cast("long")) if "rank" in out.columns else out
 
     return run
@@ -98,7 +111,7 @@ FEATURES = ["cosine", "tfidf_norm", "idf", "cost", "frequency", "compatible"]
 
 
 def _trained(t: Derived):
-    rows = stored(_features(t), "features")
+    rows = t.stored(_features(t), "features")
     return ml.rate_model(rows, ml.held_out(rows, "leader"), FEATURES)
 
 

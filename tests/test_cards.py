@@ -102,3 +102,20 @@ def test_support_and_sync(spark):
     assert {r.item for r in popularity.without_basics(named).collect()} == {"plains", "Rock"}
     bad = spark.createDataFrame([(1.0, float("nan")), (None, 2.0)], "x double, y double")
     assert {r.feature: r.empty for r in ml.empty_counts(bad, ["x", "y"]).collect()} == {"x": 1, "y": 1}
+
+
+def test_flags_are_set_anew(spark):
+    items = spark.createDataFrame([(1, "Sol Ring"), (2, "Éowyn"), (3, "Rock")], "item long, name string")
+    told = spark.createDataFrame([("Sol Ring",), ("eowyn",), ("Unknown",)], "name string")
+    got = catalogue.flagged(items, told, names.collection_key(F.col("name")))
+    assert {r.item: r.flag for r in got.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_sections_of_recommendations(spark, tmp_path):
+    from tallyloom.sources import lists
+
+    add = spark.createDataFrame([(1, "Rock", 9), (2, "Day", 4)], "rank int, item string, score long")
+    cut = spark.createDataFrame([(1, "Old", 0, 3)], "rank int, item string, support long, frequency long")
+    lists.write_sections(add, cut, str(tmp_path / "out"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "out")).select("section", "rank", "item", "score", "support", "frequency").collect()
+    assert sorted(tuple(r) for r in rows) == [("add", "1", "Rock", "9", None, None), ("add", "2", "Day", "4", None, None), ("remove", "1", "Old", None, "0", "3")]
