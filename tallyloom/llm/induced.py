@@ -11,8 +11,8 @@ two suffixes that queued them.
 Queues are stretches of one array each. All tuples of a run of characters whose queues are complete
 are taken a stretch at a time, so the work is done on whole arrays of at most STRETCH elements, and
 the passes read and write the queues in order, which is what a disk is good at. Every array that
-grows with the text is taken from a Space, which puts large ones into files: what stays in memory is
-a few stretches, and what depends on the alphabet.
+grows with the text is taken from a Space, which puts large ones into files, those by symbol too, as the names
+of a recursion are its symbols: what stays in memory is a few stretches.
 """
 
 from __future__ import annotations
@@ -65,9 +65,26 @@ def stretches(n: int, start: int = 0) -> Iterator[tuple[int, int]]:
         yield a, min(a + STRETCH, n)
 
 
-def counted(values: Iterator[np.ndarray], k: int) -> np.ndarray:
+def summed(space: Space, *parts: np.ndarray, start: int = 0) -> np.ndarray:
+    """start, and the sums of the parts up to each place: one more element than they have."""
+    out, so_far = space.array(len(parts[0]) + 1, np.int64), start
+    out[0] = so_far
+    for a, z in stretches(len(parts[0])):
+        out[a + 1 : z + 1] = so_far + np.cumsum(sum(np.asarray(x[a:z], np.int64) for x in parts))
+        so_far = int(out[z])
+    return out
+
+
+def copied(space: Space, values: np.ndarray) -> np.ndarray:
+    out = space.array(len(values), np.int64)
+    for a, z in stretches(len(values)):
+        out[a:z] = values[a:z]
+    return out
+
+
+def counted(values: Iterator[np.ndarray], k: int, space: Space) -> np.ndarray:
     """How often each number under k occurs."""
-    out = np.zeros(k, np.int64)
+    out = space.array(k, np.int64)
     for v in values:
         if k <= STRETCH:
             out += np.bincount(v, minlength=k)
@@ -143,7 +160,7 @@ def _complete(left: np.ndarray, c: int, step: int) -> int:
         if len(found):
             return c + step * int(found[0])
         c += step * len(part)
-        width *= 2
+        width = min(2 * width, STRETCH)
     return c
 
 
@@ -206,10 +223,10 @@ def _star_ranks(code: Callable[[np.ndarray], np.ndarray], stars: np.ndarray, bas
         def symbols(x: int, y: int, depth: int = depth) -> np.ndarray:
             return code(stars[group[x:y]].astype(np.int64) + depth)
 
-        size = counted((symbols(x, y) for x, y in stretches(z, a)), base)
-        begin = a + np.r_[0, np.cumsum(size)]
+        size = counted((symbols(x, y) for x, y in stretches(z, a)), base, space)
+        begin = summed(space, size, start=a)
         fresh = space.numbers(m) if fresh is None else fresh
-        head = begin[:-1].copy()
+        head = copied(space, begin[:-1])
         for x, y in stretches(z, a):
             s = symbols(x, y)
             by = np.argsort(s, kind="stable")
@@ -227,7 +244,7 @@ def _star_ranks(code: Callable[[np.ndarray], np.ndarray], stars: np.ndarray, bas
                 todo.append((int(begin[c]), int(begin[c + 1]), depth + 1))
                 c += 1
                 continue
-            d = min(d, base)
+            d = min(d, base, c + STRETCH)
             if begin[d] > begin[c]:
                 solve(int(begin[c]), int(begin[d]), begin[c:d][size[c:d] > 0], depth + 1)
             c = d
@@ -297,13 +314,13 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
     for a, z in stretches(m):
         order[a:z] = stars[index[a:z]]
 
-    count = counted((text[a:z] for a, z in stretches(n)), k)
-    falls = counted((text[a:z][~rises[a:z]] for a, z in stretches(n)), k)
-    star_count = counted((text[order[a:z]] for a, z in stretches(m)), k)
-    at = np.r_[0, np.cumsum(falls + star_count)]
+    count = counted((text[a:z] for a, z in stretches(n)), k, space)
+    falls = counted((text[a:z][~rises[a:z]] for a, z in stretches(n)), k, space)
+    star_count = counted((text[order[a:z]] for a, z in stretches(m)), k, space)
+    at = summed(space, falls, star_count)
     scan = space.numbers(int(at[-1]))
     lcp = space.array(len(scan), np.int16) if prefix is not None else None
-    ahead = np.cumsum(star_count) - star_count
+    ahead = summed(space, star_count)
     star_lcp = _star_prefixes(order, index, stars, run, prefix, space) if prefix is not None else None
     for a, z in stretches(m):
         of = text[order[a:z]]
@@ -313,18 +330,20 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
             lcp[place] = star_lcp[index[a:z]]
     carried = None
     if prefix is not None:
-        lcp[at[:-1][(star_count > 0)] + falls[star_count > 0]] = 0
+        for a, z in stretches(k):
+            there = star_count[a:z] > 0
+            lcp[(at[a:z] + falls[a:z])[there]] = 0
         carried = Prefixes(k, cap)
-    del order, index, stars, star_lcp
+    del order, index, stars, star_lcp, ahead
 
-    def seams(lo: int, hi: int, where: np.ndarray, row: np.ndarray, values: np.ndarray, both: np.ndarray) -> None:
-        """Between the last L and the first S suffix of a character: the shorter of their runs of it."""
-        s = where[lo:hi][both[lo:hi]]
-        values[s] = np.minimum(np.minimum(run[row[s]], run[row[s - 1]]), cap)
+    def seams(lo: int, hi: int, begin: np.ndarray, others: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+        """Between the last L and the first S suffix of a character that has both: the shorter of their runs of it."""
+        for a, z in stretches(hi, lo):
+            s = (begin[a:z] + falls[a:z])[(falls[a:z] > 0) & (others[a:z] > 0)]
+            values[s] = np.minimum(np.minimum(run[row[s]], run[row[s - 1]]), cap)
 
     # L suffixes, from left to right
-    head, wait = at[:-1].copy(), falls.copy()
-    seam, two = at[:-1] + falls, (falls > 0) & (star_count > 0)
+    head, wait = copied(space, at[:-1]), copied(space, falls)
 
     def take_left(start: int, end: int) -> None:
         for a, z in stretches(end, start):
@@ -356,7 +375,7 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
         to = _complete(wait, c, 1)
         if to > c:
             if carried:
-                seams(c, to, seam, scan, lcp, two)
+                seams(c, to, at, star_count, scan, lcp)
             take_left(int(at[c]), int(at[to]))
             c = to
             continue
@@ -365,17 +384,18 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
             take_left(a, z)
             a = z
         if carried:
-            seams(c, c + 1, seam, scan, lcp, two)
-        take_left(int(seam[c]), int(at[c + 1]))
+            seams(c, c + 1, at, star_count, scan, lcp)
+        take_left(int(at[c] + falls[c]), int(at[c + 1]))
         c += 1
 
     # S suffixes, from right to left
-    begin = np.r_[0, np.cumsum(count)]
+    del head, wait, star_count
+    begin = summed(space, count)
     out = space.numbers(n)
     values = space.array(n + 1, np.int16) if prefix is not None else None
-    upto, c = np.r_[0, np.cumsum(falls)], 0
+    upto, c = summed(space, falls), 0
     while c < k:  # some characters with few L suffixes at once, or one with many by stretches
-        d = max(c + 1, int(np.searchsorted(upto, upto[c] + STRETCH, "right")) - 1)
+        d = min(max(c + 1, int(np.searchsorted(upto, upto[c] + STRETCH, "right")) - 1), c + STRETCH)
         parts = [ragged(falls[c:d])] if upto[d] - upto[c] <= STRETCH else ((0, np.arange(x, y)) for x, y in stretches(int(falls[c])))
         for row, i in parts:
             row = row + c
@@ -385,9 +405,11 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
         c = d
     if prefix is not None:
         carried = Prefixes(k, cap)
-    del scan, lcp
-    tail, wait = begin[1:].copy(), count - falls
-    seam, two = begin[:-1] + falls, (falls > 0) & (wait > 0)
+    del scan, lcp, upto, at
+    rest = count  # those of each character that rise
+    for a, z in stretches(k):
+        rest[a:z] -= falls[a:z]
+    tail, wait = copied(space, begin[1:]), copied(space, rest)
     out[0] = n - 1
     tail[0] -= 1
     wait[0] -= 1
@@ -414,7 +436,7 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
         slot = tail[queue] - 1 - np.arange(len(queue)) + np.repeat(start, size)
         out[slot] = new
         if carried:
-            fresh = tail[queue] == begin[1:][queue]
+            fresh = tail[queue] == begin[queue + 1]
             got = carried.arrive(passed, j, queue, first, fresh)
             values[slot + 1] = got
         tail[queue[start]] -= size
@@ -425,7 +447,7 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
         to = _complete(wait, c, -1)
         if to < c:
             if carried:
-                seams(to + 1, c + 1, seam, out, values, two)
+                seams(to + 1, c + 1, begin, rest, out, values)
             take_right(int(begin[to + 1]), int(begin[c + 1]))
             c = to
             continue
@@ -434,8 +456,8 @@ def suffix_order(text: np.ndarray, k: int, space: Space, prefix=None, cap: int =
             take_right(a, z)
             z = a
         if carried:
-            seams(c, c + 1, seam, out, values, two)
-        take_right(int(begin[c]), int(seam[c]))
+            seams(c, c + 1, begin, rest, out, values)
+        take_right(int(begin[c]), int(begin[c] + falls[c]))
         c -= 1
     return out, values[:n] if values is not None else None
 
@@ -500,7 +522,7 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, length: int, in_memor
     n = len(data) + len(offsets) - 1  # a mark follows each text
     with Space(in_memory) as space:
         raw, text, left = space.array(n + 8, np.uint8), space.array(n + 1, np.uint16), space.array(n + 1, np.int16)
-        used = np.flatnonzero(counted((data[a:z] for a, z in stretches(len(data))), 256))
+        used = np.flatnonzero(counted((data[a:z] for a, z in stretches(len(data))), 256, space))
         code = np.zeros(256, np.uint16)
         code[used] = np.arange(len(used)) + 2
         for a, z in stretches(n):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .tables import discard, partitions, stored
+from .tables import discard, free_names, partitions, quoted, stored
 from .textblocks import LOWER, M1, block_of, hash_spans, mix, ragged, shingles_of, slices, words_of
 
 BANDS, ROWS = 32, 4
@@ -363,15 +363,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, of which one of each near-duplicate group is left: that with the smallest doc_id, then hash of the text.
 
     Rows without doc_id stay only where no other of their group has one. Texts without words are
-    groups of their own; rows with the same doc_id and text are one.
+    groups of their own; rows with the same doc_id and text are one. Columns of docs may have any names.
     """
     marked, of_class = _grouped(docs, k, percent)
     rows = marked.join(of_class.select("c1", "c2", "component"), ["c1", "c2"], "left")
     one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "t1")).alias("one")
     kept = rows.where("n_shingles > 0").groupBy("component").agg(one).select("one.doc_id", "one.t1").unionByName(rows.where("n_shingles = 0").select("doc_id", "t1").distinct())
-    kept = stored(kept.select(row_number().alias("__row"), F.col("t1").alias("__t1")), "kept-rows")
-    keyed = docs.withColumns({"__row": row_number(), "__t1": text_hash()})
-    return keyed.join(kept, ["__row", "__t1"], "left_semi").dropDuplicates(["__row", "__t1"]).select(docs.columns)
+    own = free_names(docs.columns, 2)
+    kept = stored(kept.select(row_number().alias(own[0]), F.col("t1").alias(own[1])), "kept-rows")
+    keyed = docs.withColumns(dict(zip(own, (row_number(), text_hash()))))
+    return keyed.join(kept, own, "left_semi").dropDuplicates(own).select(*[quoted(c) for c in docs.columns])
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

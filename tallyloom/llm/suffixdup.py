@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .induced import repeated_starts
-from .tables import discard, partitions, stored
+from .tables import discard, free_names, partitions, quoted, stored
 from .textblocks import M1, block_of, hash_spans, mix, ragged, slices
 
 LENGTH = 400
@@ -77,10 +78,15 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dic
     return {"doc": doc[head], "first": i[head], "last": i[last], "anchor": a[head].astype(np.int64) - offsets[doc[head]], "gram": h[a[head].astype(np.int64)]}
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with t1, t2: 96 bits of hashes of the text, by which equal texts are handled once."""
+def _hashes() -> tuple[Column, Column]:
+    """96 bits of hashes of the text, by which equal texts are handled once."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"t1": F.xxhash64(text), "t2": F.crc32(text.cast("binary"))})
+    return F.xxhash64(text), F.crc32(text.cast("binary"))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """(text, t1, t2)"""
+    return texts.withColumns(dict(zip(("t1", "t2"), _hashes())))
 
 
 def _segment_rows(texts: DataFrame, length: int) -> DataFrame:
@@ -273,17 +279,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
     else in the table, in whichever row; all copies go, and strings are judged on the input. The
     digest is over the bytes that stay; kept_text is their text, in which a character that lost
     some of its bytes is dropped. A null text is empty; repeated rows count as copies. Columns
-    of docs with the new names, or named t1, t2 or starts, are replaced.
+    of docs may have any names; those with the new names are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-    base = docs.drop(*new, "t1", "t2", "starts")
-    columns = base.columns
-    rows = _keyed(base).join(repeats(base, length, hot, shard_bytes), ["t1", "t2"], "left").drop("t1", "t2")
+    columns = [c for c in docs.columns if c not in new]
+    base = docs.select(*[quoted(c) for c in columns])
+    a, b, starts = free_names(columns + new, 3)
+    found = repeats(base, length, hot, shard_bytes).select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("starts").alias(starts))
+    one, two = _hashes()
+    rows = base.withColumns({a: one, b: two}).join(found, [a, b], "left").drop(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for s, t in zip(b.column("starts"), b.column("text")):
+            for s, t in zip(b.column(starts), b.column("text")):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 spans = covered(s, length)
                 kept, at = [], 0
@@ -295,8 +304,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
             more = [pa.array([x[i] for x in out], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
             yield pa.record_batch([*(b.column(c) for c in columns), *more], [*columns, *new])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
+    return rows.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))]))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

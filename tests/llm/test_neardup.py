@@ -141,3 +141,12 @@ def test_wide_buckets_are_split(spark, monkeypatch):
     got = neardup.near_groups(docs_frame(spark, rows), k=4).collect()
     want = brute(rows, 4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+
+
+def test_columns_of_any_name(spark):
+    text = prose(80, 4)
+    rows = [(1, text, "u1", 7, "k"), (2, text, "u2", 8, "k"), (3, "other words here", "u3", 9, "k"), (4, None, "u4", 10, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string, __t1 long, `a.b` string")
+    got = neardup.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2], rows[3]]

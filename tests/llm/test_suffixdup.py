@@ -59,3 +59,12 @@ def test_texts_stay_valid(spark):
     kept = {r.doc_id: r.kept_text for r in suffixdup.without_repeats(docs_frame(spark, rows)).collect()}
     assert kept[1] == "a" and kept[2] == "b" and kept[5] == ""
     assert suffixdup.without_repeats(docs_frame(spark, [])).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    text = prose(120, 1)
+    rows = [(i, text, i, "x", 2.0, "b", "s") for i in range(2)] + [(5, "short", 5, "y", 1.0, "b", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, t1 long, `a.b` string, t2 double, own_0 string, starts string")
+    got = suffixdup.without_repeats(docs)
+    assert got.columns[:7] == docs.columns
+    assert sorted((r.doc_id, r.t1, r["a.b"], r.t2, r.own_0, r.starts, r.n_removed > 0) for r in got.collect()) == [(0, 0, "x", 2.0, "b", "s", True), (1, 1, "x", 2.0, "b", "s", True), (5, 5, "y", 1.0, "b", "s", False)]
