@@ -287,12 +287,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
     a, b, starts = free_names(columns + new, 3)
     found = repeats(base, length, hot, shard_bytes).select(F.col("t1").alias(a), F.col("t2").alias(b), F.col("starts").alias(starts))
     one, two = _hashes()
-    rows = base.withColumns({a: one, b: two}).join(found, [a, b], "left").drop(a, b)
+    rows = base.withColumns({a: one, b: two}).join(found, [a, b], "left")
+    rows = rows.select(*[quoted(c).alias("text" if c == "text" else f"c{i}") for i, c in enumerate(columns)], F.col(starts).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for s, t in zip(b.column(starts), b.column("text")):
+            for s, t in zip(b.column("starts"), b.column("text")):
                 raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                 spans = covered(s, length)
                 kept, at = [], 0
@@ -302,7 +303,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard
                 kept = b"".join([*kept, raw[at:]])
                 out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             more = [pa.array([x[i] for x in out], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])]
-            yield pa.record_batch([*(b.column(c) for c in columns), *more], [*columns, *new])
+            yield pa.record_batch([*b.columns[:-1], *more], [*columns, *new])
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
     return rows.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))]))
