@@ -112,6 +112,14 @@ def last_run(runs: DataFrame, success: str) -> DataFrame:
     return runs.agg(F.max_by(F.struct("run", "status"), "run").alias("x")).select("x.run", "x.status", F.coalesce(F.col("x.status") == success, F.lit(False)).alias("ok"))
 
 
+def since_last(rows: DataFrame, key: str, time: str) -> DataFrame:
+    """(key, last, seconds): the last time of each key, and the seconds from it to the last of all; times that don't parse are null and count nowhere."""
+    at = F.col(time).try_cast("timestamp")
+    each = rows.groupBy(key).agg(F.max(at).alias("last"))
+    now = rows.agg(F.max(at).alias("now"))  # one row
+    return each.join(F.broadcast(now), F.lit(True)).select(key, F.date_format("last", "yyyy-MM-dd").alias("last"), (F.unix_timestamp("now") - F.unix_timestamp("last")).alias("seconds"))
+
+
 def references(items: DataFrame, names: list[str], prices: DataFrame) -> DataFrame:
     """(name, item, day, price, ok): each reference name with the smallest item of that name and its latest price; absent ones fail."""
     spark = items.sparkSession

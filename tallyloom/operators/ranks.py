@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
 
-def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, order: list[str | Column]) -> DataFrame:
     """rows with `rank`, the place of each in that order, from 1: ranges are sorted side by side, and numbered from where the one before ends."""
     ranges = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
     before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

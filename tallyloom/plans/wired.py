@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import advisor, catalogue, hybrid, ml, popularity, tags
+from ..operators import advisor, catalogue, hybrid, ml, popularity, ranks, tags
 from .more import _COOC, _FAMILIES, _TYPE, _faces, _families, _lines_of_type, _more, _predictions, _q, _typed
 from .queries import Derived
 
@@ -74,6 +74,8 @@ def _removals(t: Derived):
 
 
 QUERIES = {
+    "q02_tfidf_in_order": _q(lambda t: ranks.ranked(t.profile().select("leader", "item", "tfidf"), ["leader", F.desc("tfidf"), "item"]), True),
+    "v5_seconds_since": _q(lambda t: catalogue.since_last(t.read("orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderdate").cast("string").alias("day")), "owner", "day")),
     "q05_removals_or_support": _q(_removals, True),
     "q04_additions_without_basics": _q(lambda t: popularity.additions(*_named_as_basics(t))),
     "q09_composition_by_type": _q(_composition, True),
@@ -116,6 +118,8 @@ def _sql_of(name: str) -> str:
 
 
 SQL = {
+    "q02_tfidf_in_order": _more("SELECT row_number() OVER (ORDER BY leader, tfidf DESC, item) AS rank, leader, item, tfidf FROM profile"),
+    "v5_seconds_since": "SELECT o_custkey AS owner, strftime(max(o_orderdate), '%Y-%m-%d') AS last, date_diff('second', max(o_orderdate), (SELECT max(o_orderdate) FROM orders))::BIGINT AS seconds FROM orders GROUP BY 1",
     "q05_removals_or_support": _more(
         """SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY support, frequency, item) AS rank, item, support, frequency, way FROM (
         SELECT m.owner, m.item, CASE WHEN k.leader IS NOT NULL THEN coalesce(r.n, 0) ELSE coalesce(s.support, 0) END AS support, coalesce(f.n, 0) AS frequency, CASE WHEN k.leader IS NOT NULL THEN 'leader' ELSE 'together' END AS way
