@@ -23,7 +23,7 @@ def running(rows: DataFrame, value: Column, name: str) -> DataFrame:
     totals = rows.groupBy(*RANGE).agg(F.sum(value).alias("t"))
     before = F.sum("t").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     starts = totals.select(*RANGE, F.coalesce(before, F.lit(0)).alias("start"))  # a row for each byte range
-    return rows.withColumn("inner", inner).join(F.broadcast(starts), RANGE).withColumn(name, F.col("start") + F.col("inner")).drop("inner", "start")
+    return rows.withColumn("inner", inner).join(starts, RANGE).withColumn(name, F.col("start") + F.col("inner")).drop("inner", "start")
 
 
 def _count(text: Column, what: str) -> Column:
