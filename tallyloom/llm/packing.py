@@ -26,7 +26,9 @@ from .textblocks import block_of, hash_spans, ragged, slices, words_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers at most; beyond it, it starts anew.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
+#: Bytes of text that are looked up at a time: new words are put among those remembered once for each.
+LOOKED_UP = 4 << 20
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -92,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=LOOKED_UP):
             ids, at = document_ids(b.column("text"), tokenizer, end_id)
             n = -(-np.diff(at) // capacity)
             doc, piece = ragged(n)
