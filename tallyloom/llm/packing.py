@@ -26,9 +26,9 @@ from .textblocks import block_of, hash_spans, ragged, slices, words_of
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a Python worker remembers at most; beyond it, it starts anew.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 2_000_000
 #: Bytes of text that are looked up at a time: new words are put among those remembered once for each.
-LOOKED_UP = 4 << 20
+LOOKED_UP = 8 << 20
 
 _tokenizers: dict[str, WordIds] = {}
 
