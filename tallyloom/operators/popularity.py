@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..storage import Scratch, stored
+from .ranks import ranked
 
-#: Steps in which co-occurrences are scored, from the items with most of them down.
-STEPS = 4
+#: Bytes of packed lists that a task adds up at a time, and owners of a task.
+LISTS, OWNERS = 1 << 20, 8192
 #: Names that are no advice, as they are written (fixed values).
 SIX_BASICS = ["Plains", "Island", "Swamp", "Mountain", "Forest", "Wastes"]
 
@@ -51,8 +58,10 @@ def additions_or_fallback(mine: DataFrame, rates: DataFrame, items: DataFrame, k
 def pairwise_support(lists: DataFrame, items: DataFrame, k: int | None = 20) -> DataFrame:
     """(owner, rank, item, support): the k items (None: all) of each list (owner, item) least found in one basket with its others; for lists of unknown leaders."""
     own = lists.select("owner", "item").distinct()
-    pairs = cooccurrence(items.join(own.select("item").distinct(), "item", "left_semi"))
-    s = own.join(pairs, "item").join(own.select("owner", F.col("item").alias("other")), ["owner", "other"], "left_semi").groupBy("owner", "item").agg(F.sum("n").alias("s"))
+    with Scratch() as keep:
+        held = keep(own, "owned")
+        together = _together(held, items.join(held.select("item").distinct(), "item", "left_semi"), None, keep)
+        s = stored(together.select("owner", "item", F.col("score").alias("s")), "support")
     j = own.join(s, ["owner", "item"], "left").select("owner", "item", F.coalesce("s", F.lit(0)).alias("support"))
     ranked = j.withColumn("rank", F.row_number().over(W.partitionBy("owner").orderBy("support", "item")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -81,49 +90,141 @@ def cooccurrence(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame
     return left.join(right, "basket_id").where("item <> other").groupBy("item", "other").agg(F.count("*").alias("n"))
 
 
-def bounded_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs (item, other, n) with what a score of `other` can reach: most (the largest n), total (their sum), and the band of the total, floor(log2)."""
-    limits = pairs.groupBy("other").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
-    return pairs.join(limits.withColumn("band", F.floor(F.log2("total")).cast("int")), "other")
+def _coded(values: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets of values) of longs, ascending from each head on: the first and then the differences, 7 bits a byte."""
+    x = values.view(np.uint64)
+    step = np.where(head, x, x - np.r_[x[:1], x[:-1]])
+    size = np.ones(len(x), np.int64)
+    for j in range(1, 10):
+        size += step >= np.uint64(1 << 7 * j)
+    upto = np.r_[0, np.cumsum(size)]
+    out = np.empty(upto[-1], np.uint8)
+    for j in range(int(size.max(initial=0))):
+        some = size > j
+        out[upto[:-1][some] + j] = (step[some] >> np.uint64(7 * j)).astype(np.uint8) & 127 | (size[some] > j + 1).astype(np.uint8) << 7
+    return out, upto
+
+
+def _decoded(data: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, list of each) of lists that stand in data from each of upto to the next; none is empty."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.r_[0, ends[:-1] + 1]
+    step = (data[starts] & 127).astype(np.uint64)
+    for j in range(1, int((ends - starts).max(initial=0)) + 1):
+        some = starts + j <= ends
+        step[some] |= (data[starts[some] + j] & 127).astype(np.uint64) << np.uint64(7 * j)
+    first = np.searchsorted(starts, upto[:-1])
+    total, which = np.cumsum(step), np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(starts)]))
+    return (total - (total[first] - step[first])[which]).view(np.int64), which
+
+
+def packed(pairs: DataFrame) -> DataFrame:
+    """(item, n, others): the others that stand n times with an item, some thousands a row, in 2 or 3 bytes each where items are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                item, n, other = (b.column(c).to_numpy() for c in ("item", "n", "other"))
+                head = np.r_[True, (item[1:] != item[:-1]) | (n[1:] != n[:-1])]
+                data, upto = _coded(other, head)
+                first = np.flatnonzero(head)
+                lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[upto[first], upto[-1]].astype(np.int32)), pa.py_buffer(data)])
+                yield pa.record_batch([pa.array(item[first]), pa.array(n[first]), lists], ["item", "n", "others"])
+
+    return pairs.select("item", "n", "other").sortWithinPartitions("item", "n", "other").mapInArrow(run, "item long, n long, others binary")
+
+
+def reaching(owned: DataFrame, lists: DataFrame) -> DataFrame:
+    """(owner, item, n, others): the lists of the items that an owner has; a row for a list, not for each other item in it."""
+    # both sides are small, but what they make is not: as many tasks as shuffles have, whatever the sizes
+    n = int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(n, "item")
+    return dealt(owned.select("owner", "item")).join(dealt(lists), "item").select("owner", "item", "n", "others")
+
+
+def _summed(owner: np.ndarray, other: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """n and own added up for each (owner, other), in their order."""
+    order = np.lexsort((other, owner))
+    owner, other = owner[order], other[order]
+    head = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])
+    return owner[head], other[head], np.add.reduceat(n[order], head), np.add.reduceat(own[order], head)
 
 
-def reaching(owned: DataFrame, pairs: DataFrame, floors: DataFrame, bands: list[int]) -> DataFrame:
-    """(owner, other, n) of the pairs of owned items in the bands whose `other` can reach the floor of its owner (owner, least).
+def added_up(rows: DataFrame, owners: int, k: int | None = None) -> DataFrame:
+    """(owner, item, score) of rows (owner, item, n, others): for each other item the sum of n.
 
-    A score is a sum of n over the owned items, so it is at most their number times the largest n, and at most the
-    total. An owner meets only the bands that can hold such items.
+    With k: of what the owner lacks, the k best, ties by item. Without: of what the owner has. Rows meet by owner, and
+    a task holds the scores of the owners of some lists, and those of an owner that goes on.
     """
-    own = floors.join(owned.groupBy("owner").agg(F.count("*").alias("items")), "owner")
-    high = F.filter(F.array(*map(F.lit, bands)).cast("array<int>"), lambda b: F.pow(F.lit(2.0), b + 1) > F.col("least"))
-    asked = owned.join(own, "owner").withColumn("band", F.explode(high))
-    can = F.least(F.col("items") * F.col("most"), F.col("total")) >= F.col("least")
-    # both sides are small, but what they make is not: as many tasks as shuffles have, whatever the sizes
+    kind = rows.schema["owner"].dataType.simpleString()
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.binary_length(b.column("others")).to_numpy())
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LISTS, "right")))
+                yield b.slice(at, to - at)
+                at = to
+
+    def told(names: pa.Array, owner: np.ndarray, other: np.ndarray, score: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        keep = own > 0 if k is None else own == 0
+        owner, other, score = owner[keep], other[keep], score[keep]
+        if k is not None and len(owner):
+            head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            size = np.diff(np.r_[head, len(owner)])
+            floor = np.array([np.partition(score[a : a + m], m - k)[m - k] if m > k else 0 for a, m in zip(head.tolist(), size.tolist())])
+            some = np.flatnonzero(score >= np.repeat(floor, size))
+            some = some[np.lexsort((other[some], -score[some], owner[some]))]
+            some = some[np.arange(len(some)) - np.searchsorted(owner[some], owner[some]) < k]
+            owner, other, score = owner[some], other[some], score[some]
+        return pa.record_batch([names.take(pa.array(owner)), pa.array(other), pa.array(score)], ["owner", "item", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in slices(batches):
+            column = b.column("owner")
+            if rest is not None:
+                column = pa.concat_arrays([rest[0], column])
+            coded = column.dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy().astype(np.int64)
+            lists = b.column("others")
+            upto = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+            other, which = _decoded(np.frombuffer(lists.buffers()[2], np.uint8)[upto[0] : upto[-1]], upto - upto[0])
+            at, items, n = code[len(code) - b.num_rows :], b.column("item").to_numpy(), b.column("n").to_numpy()
+            parts = [(at[which], other, n[which], np.zeros(len(which), np.int64)), (at, items, np.zeros_like(n), np.ones_like(n))]
+            if rest is not None:
+                parts.append((np.zeros(len(rest[1]), np.int64), *rest[1:]))
+            owner, *sums = _summed(*(np.concatenate(x) for x in zip(*parts)))
+            cut = int(np.searchsorted(owner, code[-1]))  # the last owner may go on
+            yield told(coded.dictionary, owner[:cut], *(x[:cut] for x in sums))
+            rest = (column.slice(len(column) - 1), *(x[cut:] for x in sums))
+        if rest is not None:
+            yield told(rest[0], np.zeros(len(rest[1]), np.int64), *rest[1:])
+
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-owners // OWNERS))
+    return rows.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(run, f"owner {kind}, item long, score long")
+
+
+def _together(owned: DataFrame, items: DataFrame, k: int | None, keep: Scratch) -> DataFrame:
+    """added_up for distinct rows (owner, item); items that are no numbers are numbered in their order."""
+    kind = owned.schema["item"].dataType
+    if not isinstance(kind, LongType):
+        ids = keep(ranked(owned.select("item").unionByName(items.select("item")).distinct().where("item IS NOT NULL"), ["item"]).withColumn("rank", F.col("rank").cast("long")), "numbers")
+        numbered = lambda df, *c: df.join(ids, "item").select(*c, F.col("rank").alias("item"))
+        found = _together(numbered(owned, "owner"), numbered(items, "basket_id"), k, keep)
+        return found.withColumnRenamed("item", "rank").join(ids, "rank").select("owner", "item", "score")
     n = int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(n, "item", "band")
-    return dealt(asked).join(dealt(pairs.where(F.col("band").isin(bands))), ["item", "band"]).where(can).select("owner", "other", "n")
+    lists = keep(packed(cooccurrence(items, owned).repartition(n, "item")), "lists")
+    return added_up(reaching(owned, lists), owned.select("owner").distinct().count(), k)
 
 
 def cooccurrence_scores(mine: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
     """(owner, rank, item, score): the k items not owned with the largest sum of co-occurrences with those owned, a stored table.
 
-    Items are told apart by the bands of their totals, and the highest bands are scored first, in STEPS with equal
-    shares of all co-occurrences. The k-th score so far is the floor that an owner's other items must be able to reach
-    to be looked at.
+    All co-occurrences of an owner's items are added up, but they travel as packed lists, one for each item and count.
     """
-    owned = mine.select("owner", "item").distinct()
-    rank = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("score"), "item"))
     with Scratch() as keep:
-        pairs, held = keep(bounded_pairs(cooccurrence(items, mine)), "pairs"), keep(owned, "owned")
-        counts = sorted(((r.band, r.n) for r in pairs.groupBy("band").agg(F.sum("n").alias("n")).collect()), reverse=True)  # 64 at most
-        total, so_far, steps = sum(n for _, n in counts), 0, {}
-        for band, n in counts:
-            steps.setdefault(STEPS * so_far // total, []).append(band)
-            so_far += n
-        owners = held.select("owner").distinct()
-        best = held.select("owner", "item", F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")).limit(0)
-        for bands in steps.values():
-            kth = best.where(F.col("rank") == k).select("owner", F.col("score").alias("least"))
-            floors = owners.join(kth, "owner", "left").select("owner", F.coalesce("least", F.lit(0)).alias("least"))
-            scores = reaching(held, pairs, floors, bands).groupBy("owner", F.col("other").alias("item")).agg(F.sum("n").alias("score")).join(held, ["owner", "item"], "left_anti")
-            best = keep(best.drop("rank").unionByName(scores).withColumn("rank", rank).where(F.col("rank") <= k), "best-scores")
-        return stored(best.select("owner", "rank", "item", "score"), "scores")
+        best = _together(keep(mine.select("owner", "item").distinct(), "owned"), items, k, keep)
+        rank = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("score"), "item"))
+        return stored(best.select("owner", rank.alias("rank"), "item", "score"), "scores")

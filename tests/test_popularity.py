@@ -72,3 +72,25 @@ def test_support_within_a_list(spark):
     lists = spark.createDataFrame([("a", i) for i in (1, 2, 3, 4)] + [("b", 9)], "owner string, item long")
     got = {(r.owner, r.item): (r["rank"], r.support) for r in popularity.pairwise_support(lists, items_df).collect()}
     assert got == {("a", 4): (1, 0), ("a", 3): (2, 2), ("a", 1): (3, 3), ("a", 2): (4, 3), ("b", 9): (1, 0)}
+
+
+def test_lists_travel_packed_and_names_count(spark, monkeypatch):
+    values = np.array([-5, 3, 300, 1 << 40, 2, 7, 9], np.int64)
+    head = np.array([True, False, False, False, True, False, True])
+    data, upto = popularity._coded(values, head)
+    got, which = popularity._decoded(data, upto[np.r_[np.flatnonzero(head), len(values)]])
+    assert got.tolist() == values.tolist() and which.tolist() == [0, 0, 0, 0, 1, 1, 2]
+
+    held = baskets(items=300)
+    mine_df, items_df, mine = frames(spark, held)
+    monkeypatch.setattr(popularity, "LISTS", 100)  # owners go on from one step to the next
+    lists = popularity.reaching(mine_df.distinct(), popularity.packed(popularity.cooccurrence(items_df, mine_df).repartition(4, "item")))
+    pairs = mine_df.distinct().join(popularity.cooccurrence(items_df, mine_df), "item").count()
+    assert lists.count() < 0.2 * pairs and lists.selectExpr("sum(length(others)) AS s").first().s < 2 * pairs
+    named = lambda df: df.withColumn("item", F.format_string("n%05d", "item"))
+    got = defaultdict(list)
+    for r in popularity.cooccurrence_scores(named(mine_df), named(items_df), 5).orderBy("owner", "rank").collect():
+        got[r.owner].append((-r.score, int(r.item[1:])))
+    assert got == brute(held, mine, 5)
+    want = {(o, i): sum(len(s & own) - 1 for s in held.values() if i in s) for o, own in mine.items() for i in own}
+    assert {(r.owner, r.item): r.support for r in popularity.pairwise_support(mine_df, items_df, None).collect()} == want
