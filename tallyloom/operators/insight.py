@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .hybrid import exact
+from .tags import by_kind
 
 
 def unseen_items(prediction: DataFrame, weights: DataFrame, clusters: DataFrame, frequency: DataFrame, least: float = 0.01, k: int = 10) -> DataFrame:
@@ -16,14 +17,17 @@ def unseen_items(prediction: DataFrame, weights: DataFrame, clusters: DataFrame,
     is the sum of p * weight by the largest; popularity is the mean frequency of the known items of
     the likeliest cluster (clusters: item, cluster).
     """
-    p = prediction.where(F.col("p") > least)
-    top = p.where("rank = 1").select("item", "cluster", F.round("p", 4).alias("confidence"))
     known = clusters.join(frequency.select("item", "frequency"), "item").groupBy("cluster").agg(F.round((F.sum(exact("frequency", 4)).cast("double") / F.count("*")).cast("decimal(20,8)"), 2).cast("double").alias("popularity"))
-    s = p.join(weights.select("leader", "cluster", "weight"), "cluster").groupBy("item", "leader").agg(F.sum(exact("p", 6) * exact("weight", 6)).cast("double").alias("s"))
-    best = F.max("s").over(W.partitionBy("item"))
-    s = s.withColumn("probability", F.round(F.coalesce(F.try_divide("s", best), F.lit(0.0)), 4))
-    s = s.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("s"), "leader"))).where(F.col("rank") <= k)
-    return s.join(top, "item").join(known, "cluster", "left").select("item", "rank", "leader", "probability", "cluster", "confidence", F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
+
+    def predict(p: DataFrame) -> DataFrame:
+        top = p.where("rank = 1").select("item", "cluster", F.round("p", 4).alias("confidence"))
+        s = p.join(weights.select("leader", "cluster", "weight"), "cluster").groupBy("item", "leader").agg(F.sum(exact("p", 6) * exact("weight", 6)).cast("double").alias("s"))
+        best = F.max("s").over(W.partitionBy("item"))
+        s = s.withColumn("probability", F.round(F.coalesce(F.try_divide("s", best), F.lit(0.0)), 4))
+        s = s.withColumn("rank", F.row_number().over(W.partitionBy("item").orderBy(F.desc("s"), "leader"))).where(F.col("rank") <= k)
+        return s.join(top, "item").join(known, "cluster", "left").select("item", "rank", "leader", "probability", "cluster", "confidence", F.coalesce("popularity", F.lit(0.0)).alias("popularity"))
+
+    return by_kind(prediction.where(F.col("p") > least), ["rank", "cluster", "p"], predict)
 
 
 def explanations(hybrids: DataFrame, rates: DataFrame) -> DataFrame:
