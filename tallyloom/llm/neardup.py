@@ -11,10 +11,11 @@
 No bucket is expanded into rows of pairs: first each member is compared with the smallest id of its
 bucket, and links join them into components. Then members of a bucket that are still in different
 components are compared, block by block inside tasks. A bucket with more than WIDE members outside
-its main component is first split by a second band, and what is still as wide by a third: a pair at
-0.8 that agrees in one band agrees in another but for a chance of 1e-6. So blocks are few, and rows
-grow with the members of a bucket, not with their square. Blocks see signatures only; the sets of
-members with a plausible partner follow, and tasks put out only links that join components.
+its main component is first split by a second band, and what is still as wide by a third, which joins
+most of it. Then the members of such buckets that are still apart meet whole: in blocks if no more
+than WIDE are left outside, else by their rare shingles, of which alike sets share one. So a pair
+that agrees in one band is compared however wide its bucket is. Blocks see signatures only; the sets
+of members with a plausible partner follow, and tasks put out only links that join components.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected
@@ -178,6 +180,28 @@ def split_by_band(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     return each.select("k.key", "k.path", "id", "n", "c")
 
 
+def split_by_shingle(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets by their rare shingles: (key, path, id, n, c), a row for each; path is 0.
+
+    Shingles have one order for all sets, the rarest first. The first one that two sets have in common stands
+    among the first floor((100 - percent) * n / 100) + 1 of both if they are alike, so no link is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for b in slices(iter([x]), "set", CACHED):
+                data, offsets = block_of(b.column("set"))
+                row = pa.array(np.repeat(np.arange(b.num_rows), np.diff(offsets) // 8))
+                yield pa.record_batch([pa.array(data[:-8].view(np.int64)), *(b.column(k).take(row) for k in ("id", "n", "c"))], ["key", "id", "n", "c"])
+
+    members = rows.select("id", "n", "c").dropDuplicates(["id"])
+    each = stored(members.join(sets, "id").select("id", "n", "c", "set").mapInArrow(run, "key long, id long, n long, c long"), "shingles")
+    times = stored(each.groupBy("key").agg(F.count("*").alias("times")), "shingle-counts")
+    place = F.row_number().over(W.partitionBy("id").orderBy("times", "key"))
+    some = each.join(times, "key").withColumn("place", place).where((F.col("times") > 1) & (F.col("place") <= F.floor((100 - percent) * F.col("n") / 100) + 1))
+    return some.select("key", F.lit(0).cast("long").alias("path"), "id", "n", "c")
+
+
 def dealt_blocks(rows: DataFrame) -> DataFrame:
     """(g, left, both, path, id, n, c): members of buckets dealt into groups of two blocks, or of one (both) whose own members meet.
 
@@ -195,7 +219,7 @@ def dealt_blocks(rows: DataFrame) -> DataFrame:
 
 
 def _pairs_of(t: pa.Table, percent: int, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of rows of groups g, in order of g, between components, whose signatures are not ruled out and whose first agreeing bands are the path."""
+    """Pairs (i, j) of rows of groups g, in order of g, between components, whose signatures are not ruled out and whose first agreeing bands are the path; any band, if it is 0."""
     g, left, both, path, n, c = (t.column(k).to_numpy() for k in ("g", "left", "both", "path", "n", "c"))
     sig = _matrix(t.column("sig").combine_chunks())
     head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
@@ -214,7 +238,7 @@ def _pairs_of(t: pa.Table, percent: int, need: np.ndarray) -> Iterator[tuple[np.
         live = not_ruled_out(sig, i, j, need)
         i, j = i[live], j[live]
         agree = (sig[i] == sig[j]).reshape(-1, BANDS, ROWS).all(2) @ (1 << np.arange(BANDS, dtype=np.int64))
-        first = (agree & (top[i] - 1)) == path[i]
+        first = ((agree & (top[i] - 1)) == path[i]) & (agree > 0)
         yield i[first], j[first]
         at = to
 
@@ -278,6 +302,49 @@ def links_between(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("g", "left", "both", "path", "id", "n", "c", "sig", "set").mapInArrow(run, "a long, b long")
 
 
+def found_links(dealt: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links of dealt blocks, a stored table."""
+    rows = stored(partnered(dealt, sigs, percent), "partnered")
+    links = stored(links_between(rows, sets, percent), "links-between")
+    discard(rows)
+    return links
+
+
+def links_of_bands(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) between components of buckets (key, path, id, n, c), and the keys of wide ones, None if there are none.
+
+    Wide buckets are split by further bands, so their links are not all there.
+    """
+    (now, wide), dealt, keys = mixed(rows), None, None
+    if wide:
+        keys = stored(now.where(F.col("others") > WIDE).select("key").distinct(), "wide-keys")
+    for depth in range(1, DEPTH + 1):
+        split = wide and depth < DEPTH
+        some = dealt_blocks(now.where(F.col("others") <= WIDE) if split else now)
+        dealt = some if dealt is None else dealt.unionByName(some)
+        if not split:
+            break
+        now, wide = mixed(stored(split_by_band(now.where(F.col("others") > WIDE), sigs), "wide-buckets"))
+    return found_links(dealt, sigs, sets, percent), keys
+
+
+def links_of_rest(rows: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between components of buckets (key, path, id, n, c) of any width."""
+    now, wide = mixed(rows)
+    if not wide:
+        return found_links(dealt_blocks(now), sigs, sets, percent)
+    by_shingle = stored(split_by_shingle(now.where(F.col("others") > WIDE), sets, percent), "rare-shingles")
+    return found_links(dealt_blocks(now.where(F.col("others") <= WIDE)).unionByName(dealt_blocks(mixed(by_shingle)[0])), sigs, sets, percent)
+
+
+def joined_by(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups (id, component) of all ids, with one name for those that links (a, b) join; a stored table."""
+    own = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(own("a"), "a").join(own("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    names = connected(between).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return stored(groups.join(names, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "groups")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -320,25 +387,19 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
 
     stars = stored(bucket.where((F.col("star.id") != F.col("id")) & fits(F.col("n"), F.col("star.n"))).select(F.col("star.id").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     first = stored(similar(plausible(stars, classes, percent / 100), sets, percent), "first-links")
-    groups = stored(connected(first), "groups")
-
-    labelled = bucket.select("key", F.expr("shiftleft(1L, band)").alias("path"), "id", "n").join(groups, "id", "left").select("key", "path", "id", "n", F.coalesce("component", "id").alias("c"))
-    (now, wide), dealt = mixed(labelled), None
-    for depth in range(1, DEPTH + 1):
-        split = wide and depth < DEPTH
-        some = dealt_blocks(now.where(F.col("others") <= WIDE) if split else now)
-        dealt = some if dealt is None else dealt.unionByName(some)
-        if not split:
-            break
-        now, wide = mixed(stored(split_by_band(now.where(F.col("others") > WIDE), sigs), "wide-buckets"))
-    second = stored(links_between(stored(partnered(dealt, sigs, percent), "partnered"), sets, percent), "second-links")
-    of_class = classes.select("id", "c1", "c2", "doc_id").join(groups, "id", "left").select("c1", "c2", "doc_id", F.coalesce("component", "id").alias("component"))
-    if not second.isEmpty():  # links between components: those that they join get one name
-        own = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-        between = second.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        joined = connected(between).select(F.col("id").alias("component"), F.col("component").alias("root"))
-        of_class = of_class.join(joined, "component", "left").select("c1", "c2", "doc_id", F.coalesce("root", "component").alias("component"))
-    of_class = stored(of_class, "class-components")
+    groups = stored(classes.select("id").join(connected(first), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "groups")
+
+    def labelled(rows):
+        return rows.select("key", F.expr("shiftleft(1L, band)").alias("path"), "id", "n").join(groups.select("id", F.col("component").alias("c")), "id")
+
+    second, wide = links_of_bands(labelled(bucket), sigs, sets, percent)
+    if not second.isEmpty():
+        groups = joined_by(second, groups)
+    if wide is not None:
+        rest = links_of_rest(labelled(bucket.join(wide, "key", "left_semi")), sigs, sets, percent)
+        if not rest.isEmpty():
+            groups = joined_by(rest, groups)
+    of_class = stored(classes.select("id", "c1", "c2", "doc_id").join(groups, "id").select("c1", "c2", "doc_id", "component"), "class-components")
     least = stored(of_class.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")
     of_class = stored(of_class.drop("doc_id").join(least, "component"), "set-components")
     discard(classes, shared, bucket, sets, stars, first, groups, second, least)

@@ -143,6 +143,32 @@ def test_wide_buckets_are_split(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
 
 
+def test_pairs_of_wide_buckets_that_agree_in_one_band_only(spark, tmp_path, monkeypatch):
+    """However wide a bucket is, all its pairs are compared: members 2i and 2i + 1 are alike, and all agree in the first band alone."""
+    n, r = 60, np.random.default_rng(4)
+    sig = r.integers(0, 2**16, (n, neardup.BANDS * neardup.ROWS)).astype(np.uint16)
+    sig[1::2] = sig[::2]
+    sig[1::2, neardup.ROWS :: neardup.ROWS] += 1
+    sig[:, : neardup.ROWS] = 5
+    common = np.arange(10**6, 10**6 + 60, dtype=np.uint64)
+    sets = [np.sort(np.r_[common, 1000 * (i // 2) + np.arange(36, dtype=np.uint64), 1000 * (n + i) + np.arange(4, dtype=np.uint64)]) for i in range(n)]
+    rows = spark.createDataFrame([(77, 1, i, 100, i) for i in range(n)], "key long, path long, id long, n long, c long")
+    sigs = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "id long, sig binary")
+    full = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "id long, set binary")
+    want = {(i, i + 1) for i in range(0, n, 2)}
+
+    def links():
+        some, wide = neardup.links_of_bands(rows, sigs, full, 80)
+        rest = [] if wide is None else neardup.links_of_rest(rows.join(wide, "key", "left_semi"), sigs, full, 80).collect()
+        return {(x.a, x.b) for x in [*some.collect(), *rest]}, wide is not None
+
+    assert links() == (want, False)
+    monkeypatch.setattr(neardup, "WIDE", 3)
+    assert links() == (want, True)
+    split = neardup.split_by_shingle(neardup.mixed(rows)[0], full, 80)
+    assert split.count() <= 21 * n and {r.path for r in split.collect()} == {0}
+
+
 def test_columns_of_any_name(spark):
     text = prose(80, 4)
     rows = [(1, text, "u1", 7, "k"), (2, text, "u2", 8, "k"), (3, "other words here", "u3", 9, "k"), (4, None, "u4", 10, "k")]
