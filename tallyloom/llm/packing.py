@@ -29,6 +29,8 @@ END_ID = 1
 WORDS_KEPT = 2_000_000
 #: Bytes of text that are looked up at a time: new words are put among those remembered once for each.
 LOOKED_UP = 8 << 20
+#: New words that the tokenizer encodes at a time: what it returns for a word takes over a thousand bytes.
+ENCODED = 8192
 
 _tokenizers: dict[str, WordIds] = {}
 
@@ -53,12 +55,9 @@ class WordIds:
         i = np.searchsorted(self.key, h)
         new = np.flatnonzero((i >= len(self.key)) | (self.key[np.minimum(i, len(self.key) - 1)] != h)) if len(self.key) else np.arange(len(h))
         if len(new):
-            raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[which[new]].tolist(), ends[which[new]].tolist())]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            count = np.array([len(x) for x in ids], np.int64)
+            ids, count = self._encoded(data, starts[which[new]], ends[which[new]])
             at = np.cumsum(count) - count + len(self.ids)
-            self.ids = np.concatenate([self.ids, np.array([y for x in ids for y in x], np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             self.key, self.at, self.count = (np.insert(x, i[new], y) for x, y in ((self.key, h[new]), (self.at, at), (self.count, count)))
             i = np.searchsorted(self.key, h)
         i = i[back]
@@ -66,6 +65,16 @@ class WordIds:
         row, j = ragged(count)
         return self.ids[self.at[i][row] + j], count
 
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words by the tokenizer, some at a time."""
+        raw, ids, count = memoryview(data), [], []
+        for at in range(0, len(starts), ENCODED):
+            words = [str(raw[a:b], "utf-8") for a, b in zip(starts[at : at + ENCODED].tolist(), ends[at : at + ENCODED].tolist())]
+            some = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            count.append(np.array([len(x) for x in some], np.int64))
+            ids.append(np.array([y for x in some for y in x], np.uint32))
+        return np.concatenate(ids), np.concatenate(count)
+
 
 def _word_ids(path: str) -> WordIds:
     if path not in _tokenizers:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyloom.llm import packing as p
+from tallyloom.llm.textblocks import block_of, words_of
 
 from .common import awkward, docs_frame, prose, saved
 
@@ -65,3 +66,24 @@ def test_plan_packs_everything(lengths):
     assert used == Counter(lengths)
     n = sum(t for t, _ in p.best_two_fit(lengths, 50))
     assert n <= 2 * -(-sum(k * c for k, c in lengths.items()) // 50) + 1  # no two bins are at most half full
+
+
+def test_new_words_are_encoded_some_at_a_time(monkeypatch):
+    words = p.WordIds(PATH)
+    text = " ".join(f"w{i}é{i * i}" for i in range(500))
+    data, offsets = block_of(pa.array([text]))
+    starts, ends, _ = words_of(data, offsets)
+    want = words.of(data, starts, ends)
+    sizes = []
+
+    class Counted:
+        def encode_batch_fast(self, some, add_special_tokens, own=words.tokenizer):
+            sizes.append(len(some))
+            return own.encode_batch_fast(some, add_special_tokens=add_special_tokens)
+
+    monkeypatch.setattr(p, "ENCODED", 64)
+    words.clear()
+    words.tokenizer = Counted()
+    got = words.of(data, starts, ends)
+    assert max(sizes) <= 64 and sum(sizes) == 500
+    assert all((x == y).all() for x, y in zip(got, want))
