@@ -11,7 +11,7 @@ from .grams import built
 from .ranks import ranked
 
 #: Leaders of a row of rates.
-SLOTS = 8
+SLOTS = 32
 
 
 def top(df: DataFrame, k: int, *order) -> DataFrame:
@@ -103,9 +103,11 @@ def detected_leader(cards: DataFrame, rates: DataFrame) -> DataFrame:
     leaders = ranked(rates.select("leader").distinct(), ["leader"]).select("leader", F.floor((F.col("rank") - 1) / SLOTS).alias("row"), ((F.col("rank") - 1) % SLOTS).alias("slot"))
     slots = [f"s{i}" for i in range(SLOTS)]
     # whole numbers of ten-thousandths, so that sums have no last bit to differ in
-    rate = F.round(F.col("rate") * 10_000).cast("long")
+    rate = F.round(F.col("rate") * 10_000).cast("int")
     wide = rates.join(leaders, "leader").groupBy("item", "row").agg(*[F.max(F.when(F.col("slot") == i, rate)).alias(c) for i, c in enumerate(slots)])
-    sums = cards.select("basket_id", "item").join(wide, "item").groupBy("basket_id", "row").agg(*[F.sum(c).alias(c) for c in slots], *[F.count(c).alias(f"n{c}") for c in slots])
+    # the lines of a basket meet before they are added up: a sum and a count of each slot would be wider than its rates in one array
+    met = cards.select("basket_id", "item").join(wide.select("item", "row", F.array(*slots).alias("rates")), "item").select("basket_id", "row", "rates").repartition("basket_id")
+    sums = met.groupBy("basket_id", "row").agg(*[F.sum(F.get("rates", F.lit(i))).alias(c) for i, c in enumerate(slots)], *[F.count(F.get("rates", F.lit(i))).alias(f"n{c}") for i, c in enumerate(slots)])
     score = lambda c: F.round((F.col(c) / 10_000 / F.col(f"n{c}")).cast("decimal(20,8)"), 2).cast("double")
     best = F.array_max(F.array(*[F.when(F.col(f"n{c}") > 0, F.struct(score(c).alias("score"), F.col(f"n{c}").alias("matched"), F.lit(-i).alias("slot"))) for i, c in enumerate(slots)]))
     rows = sums.select("basket_id", F.struct(best["score"].alias("score"), best["matched"].alias("matched"), (-F.col("row")).alias("row"), best["slot"].alias("slot")).alias("x")).groupBy("basket_id").agg(F.max("x").alias("x"))
