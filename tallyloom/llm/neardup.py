@@ -11,8 +11,8 @@
 No bucket is expanded into rows of pairs: first each member is compared with the smallest id of its
 bucket, and links join them into components. Then members of a bucket that are still in different
 components are compared, block by block inside tasks. A bucket with more than WIDE members outside
-its main component is first split by a second band, and what is still as wide by a third, which joins
-most of it. Then the members of such buckets that are still apart meet whole: in blocks if no more
+its main component is first split by a second band, and what is still as wide by a third, as a first
+pass. Then the members of such buckets that are still apart meet whole: in blocks if no more
 than WIDE are left outside, else by their rare shingles, of which alike sets share one. So a pair
 that agrees in one band is compared however wide its bucket is. Blocks see signatures only; the sets
 of members with a plausible partner follow, and tasks put out only links that join components.
