@@ -94,3 +94,37 @@ def test_lists_travel_packed_and_names_count(spark, monkeypatch):
     assert got == brute(held, mine, 5)
     want = {(o, i): sum(len(s & own) - 1 for s in held.values() if i in s) for o, own in mine.items() for i in own}
     assert {(r.owner, r.item): r.support for r in popularity.pairwise_support(mine_df, items_df, None).collect()} == want
+
+
+def test_pairs_of_baskets_are_no_rows_and_few_items_are_wanted(spark, monkeypatch):
+    held = baskets(items=300)
+    mine_df, items_df, mine = frames(spark, held)
+    monkeypatch.setattr(popularity, "cooccurrence", None)
+    monkeypatch.setattr(popularity, "PAIRS", 50)  # a basket goes on from one step to the next
+    monkeypatch.setattr(popularity, "LISTS", 100)
+    for wanted in (popularity.WANTED, 0):
+        monkeypatch.setattr(popularity, "WANTED", wanted)
+        got = defaultdict(list)
+        for r in popularity.cooccurrence_scores(mine_df, items_df, 5).orderBy("owner", "rank").collect():
+            got[r.owner].append((-r.score, r.item))
+        assert got == brute(held, mine, 5)
+
+
+def test_sums_of_numbers_that_fit_in_one_and_of_others():
+    r = np.random.default_rng(2)
+    owner, other, n, own = r.integers(-3, 3, 500), r.integers(-4, 4, 500), r.integers(1, 9, 500), r.integers(0, 2, 500)
+    want = sorted((a, b, int(n[at].sum()), int(own[at].sum())) for a in set(owner.tolist()) for b in set(other.tolist()) if (at := (owner == a) & (other == b)).any())
+    assert [tuple(map(int, x)) for x in zip(*popularity._summed(owner, other, n, own))] == want
+    wide = np.where(other == 3, np.int64(1) << 62, np.where(other == -4, -(np.int64(1) << 62), other))
+    assert [tuple(map(int, x[2:])) for x in zip(*popularity._summed(owner, wide, n, own))] == [x[2:] for x in want]
+
+
+def test_additions_of_owners_of_all_the_first_items_and_of_two_leaders(spark):
+    rates = spark.createDataFrame([(1, i, 1000 - i) for i in range(100)] + [(2, i, 500) for i in (7, 300)], "leader long, item long, n long")
+    mine = [(0, 1, i) for i in range(30)] + [(1, 1, i) for i in range(0, 40, 2)] + [(2, 1, 50)] + [(2, 9, i) for i in range(30)] + [(3, 2, 7)]
+    got = defaultdict(list)
+    for r in popularity.additions(spark.createDataFrame(mine * 2, "owner long, leader long, item long"), rates, 5).orderBy("owner", "rank").collect():
+        got[r.owner].append((r.item, r.score))
+    # an item that the owner holds with another leader takes a place as well
+    first = {0: range(30, 35), 1: range(1, 10, 2), 2: range(30, 35)}
+    assert got == {o: [(i, 1000 - i) for i in items] for o, items in first.items()} | {3: [(300, 500)]}
