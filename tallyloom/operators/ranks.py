@@ -41,5 +41,5 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float])
     low, high = F.floor("x.at"), F.ceil("x.at")
     each = both.withColumn("x", F.explode(wanted)).where(holds(low) | holds(high))
     values = each.groupBy(*keys, "n", "x").agg(F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"))
-    between = F.when(low == high, F.col("a")).otherwise((high - F.col("x.at")) * F.col("a") + (F.col("x.at") - low) * F.col("b"))
+    between = F.when((low == high) | (F.col("a") == F.col("b")), F.col("a")).otherwise((high - F.col("x.at")) * F.col("a") + (F.col("x.at") - low) * F.col("b"))
     return values.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("x.i", between.alias("q")))), lambda x: x["q"]).alias("quantiles"))

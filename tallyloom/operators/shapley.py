@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_dir
+from ..storage import shared_dir, stored
+from .ranks import quantiles
 from .vectors import matrix
 
 #: Features on a path up to which a leaf has a table of all agreements.
@@ -167,7 +168,7 @@ def mean_contributions(told: DataFrame, columns: list[str]) -> DataFrame:
 def feature_effect(told: DataFrame, columns: list[str], feature: str) -> DataFrame:
     """(mean_abs, positive, low, high): a feature's mean contribution, how often it is positive, and its mean where the feature is under its 33rd and over its 66th percentile."""
     phi = F.get("contributions", F.lit(columns.index(feature)))
-    rows = told.select(F.col(f"`{feature}`").alias("v"), phi.alias("phi"))
-    cut = rows.agg(F.percentile("v", F.lit(0.33)).alias("a"), F.percentile("v", F.lit(0.66)).alias("b"))
+    rows = stored(told.select(F.col(f"`{feature}`").alias("v"), phi.alias("phi")), "contributions")  # read twice, explained once
+    cut = quantiles(rows, [], "v", [0.33, 0.66]).select(F.get("quantiles", F.lit(0)).alias("a"), F.get("quantiles", F.lit(1)).alias("b"))
     mean = lambda c, name: F.round(F.avg(c), 6).alias(name)
-    return rows.join(F.broadcast(cut), F.lit(True)).agg(mean(F.abs("phi"), "mean_abs"), mean((F.col("phi") > 0).cast("double"), "positive"), mean(F.when(F.col("v") < F.col("a"), F.abs("phi")), "low"), mean(F.when(F.col("v") > F.col("b"), F.abs("phi")), "high"))
+    return rows.join(F.broadcast(cut), F.lit(True), "left").agg(mean(F.abs("phi"), "mean_abs"), mean((F.col("phi") > 0).cast("double"), "positive"), mean(F.when(F.col("v") < F.col("a"), F.abs("phi")), "low"), mean(F.when(F.col("v") > F.col("b"), F.abs("phi")), "high"))

@@ -8,6 +8,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import functions as F
 
 from tallyloom.operators import shapley
+from tallyloom.plans import more
 
 COLUMNS = [f"f{i}" for i in range(6)]
 
@@ -81,3 +82,21 @@ def test_summaries(spark, data):
     assert effect.mean_abs == pytest.approx(np.abs(phi[:, 0]).mean(), abs=1e-6) and effect.positive == pytest.approx((phi[:, 0] > 0).mean(), abs=1e-6) and effect.high > 0
     some = {r.id for r in shapley.sampled(rows, ["id"], 200).collect()}
     assert some == {r.id for r in shapley.sampled(rows.repartition(7), ["id"], 200).collect()}
+
+
+def test_all_rows_are_explained(spark, monkeypatch):
+    n = 3500  # more than were explained once
+    r = np.random.default_rng(3)
+    x = r.normal(size=(n, 6)).round(3)
+    columns = more.FEATURES
+    rows = spark.createDataFrame([(i % 5, i, *map(float, a), float(a[0] + a[1])) for i, a in enumerate(x)], "leader long, item long, " + ", ".join(f"{c} double" for c in columns) + ", label double").repartition(5)
+    model = DecisionTreeRegressor(maxDepth=4, labelCol="label", featuresCol="v").fit(VectorAssembler(inputCols=columns, outputCol="v").transform(rows))
+    monkeypatch.setattr(more, "_trained", lambda t: (model, rows))
+    monkeypatch.setattr(more, "_two_models", lambda t: {"full": (model, rows, columns)})
+    known = shapley.leaves(spark, model)
+    phi = shapley.contributions(known, shapley._tables(known), x)
+    cut = np.quantile(x[:, 0], [0.33, 0.66])
+    effect = more._shap_cosine(None).first()
+    want = [np.abs(phi[:, 0]).mean(), (phi[:, 0] > 0).mean(), np.abs(phi[x[:, 0] < cut[0], 0]).mean(), np.abs(phi[x[:, 0] > cut[1], 0]).mean()]
+    assert [effect.mean_abs, effect.positive, effect.low, effect.high] == pytest.approx(want, abs=1e-6)
+    assert {m.feature: m.mean_abs for m in more._shap(None).collect()} == pytest.approx(dict(zip(columns, np.abs(phi).mean(0))), abs=1e-6)
