@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..storage import Scratch, stored
+from ..storage import Scratch, release, stored
 from .ranks import ranked
 
 #: Bytes of packed lists that a task adds up at a time, owners of a task, and pairs of a basket's items that it counts at a time.
 LISTS, OWNERS, PAIRS = 1 << 20, 8192, 1 << 22
+#: Rows (owner, item) whose lists are sent at a time, about 130 bytes each: owners go in waves, so that only one wave's lists lie in shuffle files.
+WAVE = 1 << 26
 #: Wanted items up to which every task knows them all.
 WANTED = 1 << 18
 LISTED = "item long, n long, others binary"
@@ -302,9 +305,20 @@ def _together(owned: DataFrame, items: DataFrame, k: int | None, keep: Scratch)
         numbered = lambda df, *c: df.join(ids, "item").select(*c, F.col("rank").alias("item"))
         found = _together(numbered(owned, "owner"), numbered(items, "basket_id"), k, keep)
         return found.withColumnRenamed("item", "rank").join(ids, "rank").select("owner", "item", "score")
-    n = int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = owned.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = keep(listed(items.select("basket_id", "item"), owned, n), "lists")
-    return added_up(reaching(owned, lists), owned.select("owner").distinct().count(), k)
+    counts = owned.agg(F.count("*").alias("rows"), F.count_distinct("owner").alias("owners")).first()
+    waves = max(1, -(-counts.rows // WAVE))
+    if waves == 1:
+        return added_up(reaching(owned, lists), counts.owners, k)
+    sums = []
+    for wave in range(waves):
+        release(spark)
+        some = owned.where(F.pmod(F.xxhash64("owner"), F.lit(waves)) == wave)
+        sums.append(keep(added_up(reaching(some, lists), -(-counts.owners // waves), k), "sums"))
+    release(spark)
+    return reduce(lambda a, b: a.unionByName(b), sums)
 
 
 def cooccurrence_scores(mine: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:

@@ -128,3 +128,15 @@ def test_additions_of_owners_of_all_the_first_items_and_of_two_leaders(spark):
     # an item that the owner holds with another leader takes a place as well
     first = {0: range(30, 35), 1: range(1, 10, 2), 2: range(30, 35)}
     assert got == {o: [(i, 1000 - i) for i in items] for o, items in first.items()} | {3: [(300, 500)]}
+
+
+def test_owners_in_waves_leave_no_shuffle_files(spark, monkeypatch):
+    rows = [(b, int(i)) for b in range(120) for i in np.random.default_rng(b).choice(25, 4, replace=False)]
+    items = spark.createDataFrame(rows, "basket_id long, item long")
+    mine = items.select((F.col("basket_id") % 40).alias("owner"), "item").distinct()
+    told = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    both = lambda: (told(popularity.cooccurrence_scores(mine, items, 5), "owner", "rank", "item", "score"), told(popularity.pairwise_support(mine, items, None), "owner", "item", "support"))
+    want, released = both(), []
+    monkeypatch.setattr(popularity, "WAVE", mine.count() // 3, raising=True)
+    monkeypatch.setattr(popularity, "release", released.append, raising=True)
+    assert both() == want and len(want[0]) == 200 and len(released) >= 8
